@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import lines, mixing, nearcopies, quality
 
 QUERIES = {
+    "op3_nearcopies": nearcopies.op3_nearcopies,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
+    "op10_lines": lines.op10_lines,
 }
 
 ORACLES = {"op6_mixing": mixing.ORACLE}
