@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, nearcopies, quality
+from . import lines, mixing, nearcopies, pieces, quality
 
 QUERIES = {
+    "op2_pieces": pieces.op2_pieces,
     "op3_nearcopies": nearcopies.op3_nearcopies,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
