@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import lines, mixing, nearcopies, pieces, quality
+from . import html_text, lines, mixing, nearcopies, pieces, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_pieces": pieces.op2_pieces,
     "op3_nearcopies": nearcopies.op3_nearcopies,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
+    "op8_html": html_text.op8_html,
     "op10_lines": lines.op10_lines,
 }
 
