@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import html_text, lines, mixing, nearcopies, pieces, quality, toxicity
+from . import chat, html_text, lines, mixing, nearcopies, pieces, quality, repeats, toxicity, vectors
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_pieces": pieces.op2_pieces,
     "op3_nearcopies": nearcopies.op3_nearcopies,
+    "op4_chat": chat.op4_chat,
+    "op5_repeats": repeats.op5_repeats,
     "op6_mixing": mixing.op6_mixing,
     "op7_quality": quality.op7_quality,
     "op8_html": html_text.op8_html,
+    "op9_vectors": vectors.op9_vectors,
     "op10_lines": lines.op10_lines,
 }
 
-ORACLES = {"op6_mixing": mixing.ORACLE}
+ORACLES = {"op4_chat": chat.ORACLE, "op6_mixing": mixing.ORACLE}
