@@ -1,6 +1,6 @@
 """Quality rules by a hashed n-gram log-likelihood ratio, in built-in expressions only.
 
-Base counts per text; then the mean, over a text's word bigrams, of log p_target(bucket) - log p_raw(bucket).
+Base counts per text; then the mean, over a text's words and word pairs, of log p_target(bucket) - log p_raw(bucket).
 p_raw are the bucket shares over every document. p_target are those over a bounded sample of trusted documents.
 A document is kept when its base rules hold and its mean ratio reaches a fixed threshold: no random draw.
 
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, WORD
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 #: Trusted documents that teach the target multinomial, at most; those with the least hash of doc_id are taken.
 TRUSTED = 20_000
 #: Nats per n-gram below which a text is held to be unlike the target.
-THRESHOLD = -0.15
+THRESHOLD = -0.12
 WINDOW = 5
 
 
@@ -41,7 +41,7 @@ def bucket(pair: Column) -> Column:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _pairs, the bigram hashes, to docs(text, ...)."""
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _grams, the hashes of words and word pairs, to docs(text, ...)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.withColumn("_words", words_of(F.col("text"))).withColumn("n_words", F.size("_words"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
@@ -59,10 +59,11 @@ def base_counts(docs: DataFrame) -> DataFrame:
     df = df.withColumn("_pairs", bigrams_of(F.col("_hashes")))
     df = df.withColumn("_fours", F.transform("_pairs", lambda x, i: F.xxhash64(x, F.get("_pairs", i + 2))))
     fives = F.transform("_fours", lambda x, i: F.xxhash64(x, F.get("_hashes", i + 4)))
-    df = df.withColumn("_grams", F.slice(fives, 1, F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))).drop("_fours", "_hashes")
-    repeated = F.size(F.array_distinct("_grams")) < F.size("_grams")
-    ranked = F.when(repeated, F.sort_array(F.transform("_grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = df.withColumn("_ranked", ranked).drop("_grams")
+    df = df.withColumn("_fives", F.slice(fives, 1, F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))).drop("_fours")
+    df = df.withColumn("_grams", F.concat("_hashes", "_pairs")).drop("_hashes", "_pairs")
+    repeated = F.size(F.array_distinct("_fives")) < F.size("_fives")
+    ranked = F.when(repeated, F.sort_array(F.transform("_fives", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    df = df.withColumn("_ranked", ranked).drop("_fives")
 
     def twice(x: Column, k: Column) -> Column:
         same = lambda at: F.coalesce(F.get(F.col("_ranked"), at)["h"] == x["h"], F.lit(False))
@@ -79,10 +80,10 @@ def base_counts(docs: DataFrame) -> DataFrame:
 
 
 def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
-    """(bucket, name): how often each hashed bigram occurs in docs(text)."""
+    """(bucket, name): how often each hashed word and word pair occurs in docs(text)."""
     hashes = docs.select(hashes_of(words_of(F.col("text"))).alias("h"))
-    pairs = hashes.select(F.explode(bigrams_of(F.col("h"))).alias("pair"))
-    return pairs.groupBy(bucket(F.col("pair")).alias("bucket")).agg(F.count("*").alias(name))
+    grams = hashes.select(F.explode(F.concat("h", bigrams_of(F.col("h")))).alias("gram"))
+    return grams.groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias(name))
 
 
 def ratio_table(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -117,9 +118,9 @@ def score(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD)
     )
     # the scalar subquery is a column of its own, for lambdas may not hold one; the optimiser folds it into its one use
     df = df.withColumn("_ratios", ratios)
-    df = df.withColumn("_total", F.aggregate("_pairs", F.lit(0.0), lambda a, x: a + F.get("_ratios", bucket(x)))).drop("_ratios")
-    df = df.withColumn("score", F.when(F.col("n_words") > 0, F.col("_total") / F.col("n_words")).otherwise(F.lit(0.0)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_pairs", "_total")
+    df = df.withColumn("_total", F.aggregate("_grams", F.lit(0.0), lambda a, x: a + F.get("_ratios", bucket(x)))).drop("_ratios")
+    df = df.withColumn("score", F.when(F.col("n_words") > 0, F.col("_total") / (2 * F.col("n_words"))).otherwise(F.lit(0.0)))
+    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_grams", "_total")
 
 
 def trusted(labels: DataFrame) -> DataFrame:
