@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -49,6 +49,17 @@ def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df.hint("shuffle_merge")
 
 
+def set_aside(docs: DataFrame, *used: str) -> DataFrame:
+    """The used columns of docs, and all others in one struct `_rest`, where no name of theirs can meet one of an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in used]
+    return docs.select(*used, (F.struct(*rest) if rest else F.lit(None).cast("string")).alias("_rest"))
+
+
+def put_back(columns: list[str], used: dict[str, Column]) -> list[Column]:
+    """The columns of docs as they were, but for the used ones, which come as given."""
+    return [(used[c] if c in used else F.col("_rest")[c]).alias(c) for c in columns]
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b), a != b: one row (id, root) per linked id, root the smallest id reachable.
 

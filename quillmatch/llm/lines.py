@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import flat, mix64, pieces
-from .common import WORD, small_or_shuffled, table, written
+from .common import WORD, put_back, set_aside, small_or_shuffled, table, written
 
 EDITS = 2
 MIN_CHARS = 20
@@ -164,7 +164,8 @@ def candidates(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
     schema = "key long, h long, parity int"
     index = distinct.mapInArrow(_emit_keys(False, edits), schema).alias("i")
     probe = distinct.mapInArrow(_emit_keys(True, edits), schema).alias("p")
-    near = "i.key = p.key and i.h <> p.h and bit_count(i.parity ^ p.parity) <= " + str(2 * edits)
+    # as a long without its sign, for bit_count sees an int as the long of the same value
+    near = "i.key = p.key and i.h <> p.h and bit_count((i.parity ^ p.parity) & 4294967295L) <= " + str(2 * edits)
     pairs = index.join(probe, F.expr(near)).select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b"))
     return pairs.distinct()
 
@@ -204,14 +205,15 @@ def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with their texts without the lines that go; n_chars, where there is one, follows the text."""
     kept = kept_lines(docs.select("doc_id", "text"), edits, min_chars).select(F.col("doc_id").alias("_id"), "kept")
-    out = docs.join(kept, F.expr("doc_id <=> _id"), "left").withColumn("_lines", F.split("text", "\n"))
+    used = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
+    out = set_aside(docs, *used).join(kept, F.expr("doc_id <=> _id"), "left").withColumn("_lines", F.split("text", "\n"))
     mine = F.filter(F.coalesce("kept", F.array().cast("array<struct<pos:int,h:bigint>>")), lambda k: F.xxhash64(F.get("_lines", k["pos"])) == k["h"])
     blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(WORD), i)), lambda i: i.isNotNull())
     out = out.withColumn("_at", F.sort_array(F.concat(F.transform(mine, lambda k: k["pos"]), blank)))
     text = F.array_join(F.transform("_at", lambda i: F.get("_lines", i)), "\n")
     out = out.withColumn("_text", F.when(F.col("text").isNotNull(), text))
-    new = {"text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    new = {"doc_id": F.col("doc_id"), "text": F.col("_text")} | ({"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in used else {})
+    return out.select(*put_back(docs.columns, new))
 
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
