@@ -5,7 +5,7 @@ over the source's target. A source may go round EPOCHS times, each round after t
 by finish time, and taken in that order while the words stay within the total budget.
 
 Defined results: null text has size 0; null is a source of its own, last; a document of size 0 is never taken (0 words);
-repeated rows are queued one after the other; an empty table gives no rows. Only doc_id, text and source are read.
+repeated rows are queued one after the other; an empty table gives no rows. Only doc_id, text and source are read; in the pipeline, other columns go along, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, table, written
+from .common import SPACE, put_back, set_aside, table, written
 
 #: Times that a source may be repeated at most.
 EPOCHS = 3
@@ -109,9 +109,11 @@ def take_mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     chosen = mix(docs.select("doc_id", "source", "text")).where("taken > 0")
     chosen = chosen.groupBy("doc_id", "source", "size").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    sized = docs.withColumn("_size", size_of_text())
+    used = ["doc_id", "source", "text"]
+    sized = set_aside(docs, *used).withColumn("_size", size_of_text())
     both = sized.alias("d").join(chosen.alias("c"), F.expr("d.doc_id <=> c.doc_id and d.source <=> c.source and d._size = c.size"))
-    return both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_round")).select(*docs.columns)
+    both = both.select("d.*", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_round"))
+    return both.select(*put_back(docs.columns, {c: F.col(c) for c in used}))
 
 
 ORACLE = r"""

@@ -5,7 +5,8 @@ p_raw are the bucket shares over every document. p_target are those over a bound
 A document is kept when its base rules hold and its mean ratio reaches a fixed threshold: no random draw.
 
 Null or empty text: no words, all counts 0, base_failed, not kept, score 0. Repeated rows each get a row. Columns
-of the input other than doc_id and text are not read, so extra or clashing names do no harm; empty tables give none.
+of the input other than doc_id and text are not read, and the pipeline's stage hands them on, whatever their names; score()
+itself adds its own columns, in place of any that bear their names. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, put_back, set_aside, table
 
 BUCKETS = 1 << 14
 #: Trusted documents that teach the target multinomial, at most; those with the least hash of doc_id are taken.
@@ -128,8 +129,6 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score(docs, trusted(table(spark, sf_dir, "labels")))
     return out.select(
@@ -140,9 +139,7 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the quality rules keep, with their columns as they were."""
-    from .common import table
-
-    out = score(docs, trusted(table(spark, sf_dir, "labels")))
+    out = score(set_aside(docs, "doc_id", "text"), trusted(table(spark, sf_dir, "labels")))
     # a filter on a deterministic column would be pushed below the counts, with these inlined into one another's lambdas
     out = out.withColumn("_stays", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return out.where("_stays").select(*docs.columns)
+    return out.where("_stays").select(*put_back(docs.columns, {c: F.col(c) for c in ("doc_id", "text")}))
