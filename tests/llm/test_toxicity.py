@@ -32,7 +32,9 @@ def test_gradients_are_those_of_the_loss():
 
 def test_a_text_is_read_to_its_end():
     good, bad = ["calm water and green hills", "bread with butter today", "rain over the quiet town"], ["foul awful scum", "hateful scum again", "awful hateful words"]
-    model = toxicity.train((good + bad) * 6, ([0] * 3 + [1] * 3) * 6)
+    mixed = [f"{g} {b} {h}" for g in good for b in bad for h in good]
+    longer = [f"{g} {h} {k}" for g in good for h in good for k in good]
+    model = toxicity.train(longer + mixed, [0] * len(longer) + [1] * len(mixed))
     long_ = "calm water and green hills " * 400
     made = toxicity.scores(model, *flat(pa.array([long_, long_ + "foul awful hateful scum", "", None, "scum"])))
     assert made[0] < 0.5 < made[1]
