@@ -80,3 +80,28 @@ def letters(rows: DataFrame, least: int = 4) -> DataFrame:
     """(match_id, letters): how many options the sheet has: those printed, or more where a later letter occurs."""
     code = lambda c: F.when(F.col(c).rlike("^[A-H]$"), F.ascii(c) - 64)
     return rows.groupBy("match_id").agg(F.greatest(F.max(code("correct")), F.max(code("mine")), F.lit(least)).alias("letters"))
+
+
+def alphabet(correct: Column, mine: Column, options: Column, sheet_letters: int | None = None) -> Column:
+    """The answers that a row offers: digits where its answers are digits, the sheet's letters, or as many letters as options are numbered."""
+    letters = F.array(*[F.lit(c) for c in "ABCDEFGH"])
+    digits = F.array(*[F.lit(c) for c in "12345"])
+    digit = lambda c: F.coalesce(c.rlike("^[0-9]$"), F.lit(False))
+    printed = F.array_join(F.coalesce(options, F.array().cast("array<string>")), " ")
+    numbered = F.regexp_count(printed, F.lit(r"\(\s*[1-5]\s*\)"))
+    if sheet_letters:
+        return F.when(digit(correct) | digit(mine), digits).otherwise(F.slice(letters, 1, min(8, sheet_letters)))
+    few = (numbered > 0) & ~printed.rlike(r"[A-Ha-h]\s*[).:]\s*\S")
+    return F.when(digit(correct), digits).when(few, F.slice(letters, F.lit(1), F.greatest(F.lit(2), F.least(F.lit(5), numbered)))).otherwise(F.slice(letters, 1, 5))
+
+
+def weak_read(role: Column, found: Column, pages: Column, badness: Column, paper: Column) -> Column:
+    """Whether a document's reading is so poor that it is worth another: too few items, for its pages or the paper, or broken Hindi."""
+    second = (found < 4) | (found < paper * 0.7)
+    first = (found < 6) | ((pages >= 3) & (found < pages * 1.5)) | F.coalesce(badness > 0.06, F.lit(False))
+    return F.when(role == "key2", second).otherwise(first)
+
+
+def adopt_read(found: Column, before: Column, badness: Column) -> Column:
+    """Whether a second reading takes the first one's place: it found more, or nearly as much where the first one's Hindi is broken."""
+    return (found > before) | (F.coalesce(badness > 0.06, F.lit(False)) & (found >= before * 0.9) & (found >= 4))

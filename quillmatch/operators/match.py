@@ -119,6 +119,17 @@ def ladder(paper: DataFrame, keys: DataFrame, rungs: Iterable[float] = LADDER) -
     return runs.join(best, ["match_id", "rung"]).drop("rung")
 
 
+def recovered(paper: DataFrame, assigned: DataFrame, found: DataFrame) -> DataFrame:
+    """(match_id, no, k_idx, confidence, method): paper numbers that only the key's wordings tell.
+
+    found(match_id, k_idx, no) are key items whose phrases stand in the paper's text, with the number printed before them; numbers that
+    the paper has and key items that are assigned already stay as they are.
+    """
+    new = found.join(paper.select("match_id", "no"), ["match_id", "no"], "left_anti").join(assigned.select("match_id", "k_idx"), ["match_id", "k_idx"], "left_anti")
+    first = new.groupBy("match_id", "no").agg(F.min("k_idx").alias("k_idx"))
+    return first.select("match_id", "no", "k_idx", F.lit(0.5).alias("confidence"), F.lit("rev").alias("method"))
+
+
 def three_way(paper: DataFrame, other: DataFrame, official: DataFrame) -> DataFrame:
     """paper(match_id, p_idx) through an assignment to the other series' numbers, and on to the official answers; the first key row wins."""
     first = official.groupBy("match_id", "no").agg(F.min_by("answer", "k_idx").alias("answer"))

@@ -41,6 +41,43 @@ def islands(rows: DataFrame, key: str, order: list[str], over) -> DataFrame:
     return runs.select(key, F.row_number().over(W.partitionBy(key).orderBy("first")).alias("island"), "n", "first", "last")
 
 
+def mode(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """(key, value, n): the most frequent value of each key; of equally frequent ones, that which was so first."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("n"), F.max(order).alias("_full"))
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("m"), "_full", value)).alias("b"))
+    return best.select(key, F.col("b")[value].alias(value), (-F.col("b.m")).alias("n"))
+
+
+def peaks(profile: DataFrame, key: str, at: str, value: str, apart: float, share: float = 0.15, least: float = 2) -> DataFrame:
+    """(key, at, value): local maxima above a share of the key's greatest value; of those nearer than `apart`, the higher one.
+
+    A profile is one page's or line's; windows find its maxima, and only these are folded, in order.
+    """
+    order = W.partitionBy(key).orderBy(at)
+    level = F.greatest(F.max(value).over(W.partitionBy(key)) * share, F.lit(least))
+    rows = profile.select(key, at, value, F.lag(value).over(order).alias("_a"), F.lead(value).over(order).alias("_b"), level.alias("_level"))
+    tops = rows.where((F.col(value) >= F.col("_a")) & (F.col(value) > F.col("_b")) & (F.col(value) > F.col("_level")))
+    lists = tops.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).alias("v")))).alias("tops"))
+
+    def step(kept, x):
+        near = F.array_position(F.transform(kept, lambda k: F.abs(x["at"] - k["at"]) < apart), True)
+        higher = F.transform(kept, lambda k, i: F.when((i + 1 == near) & (x["v"] > k["v"]), x).otherwise(k))
+        return F.when(near == 0, F.concat(kept, F.array(x))).otherwise(higher)
+
+    kept = F.aggregate("tops", F.slice("tops", 1, 0), step)
+    return lists.select(key, F.explode(kept).alias("k")).select(key, F.col("k.at").alias(at), F.col("k.v").alias(value))
+
+
+def fill_lattice(rows: DataFrame, key: str, at: str, pitch: float) -> DataFrame:
+    """(key, at, made): the rows of each key, and evenly between neighbours the rows that a gap of several pitches lacks."""
+    ahead = F.lead(at).over(W.partitionBy(key).orderBy(at))
+    gap = ahead - F.col(at)
+    steps = F.coalesce(F.greatest(F.floor(gap / pitch + 0.5), F.lit(1)), F.lit(1)).cast("int")
+    spread = rows.select(key, at, gap.alias("_gap"), steps.alias("_n")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    place = F.col(at) + F.when(F.col("_k") > 0, F.col("_gap") * F.col("_k") / F.col("_n")).otherwise(0)
+    return spread.select(key, place.alias(at), (F.col("_k") > 0).alias("made"))
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, order: list[str], carry: str) -> DataFrame:
     """Adds to each left row the `carry` of the last right row of its key at or before it.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmatch.functions import text as X
 from quillmatch.functions.numbers import upper_percentile
-from quillmatch.operators import analyze, match, parse, score, sequence
+from quillmatch.operators import analyze, bilingual, match, parse, score, sequence
 
 from .derived import benchmark_pair, line_items, match_benchmark, parts, scored_rows, table
 
@@ -405,3 +405,57 @@ def stem_match(spark, sf_dir):
     docs = _printed(spark, sf_dir).withColumnRenamed("doc_id", "match_id")
     paper = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("match_id"), F.col("item_id").alias("p_idx"), "text")
     return parse.by_stem(paper, docs)
+
+
+HINDI = "नीचे दिए गए कथन पढ़ें"
+
+
+@query(f"""WITH l AS (SELECT item_id % 4 AS doc_id, item_id AS i, trim(regexp_replace(text, '[0-9\\s]+', ' ', 'g')) AS t FROM benchmark)
+SELECT doc_id, string_agg('{HINDI}', chr(10) ORDER BY i) || chr(10) || string_agg(t, chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id""")
+def split_scripts(spark, sf_dir):
+    lines = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 4).alias("doc_id"), F.struct("item_id", F.concat(F.lit(HINDI + " "), F.trim(F.regexp_replace("text", r"[0-9\s]+", " "))).alias("line")).alias("l"))
+    docs = lines.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n").alias("text"))
+    return bilingual.split_scripts(docs)
+
+
+@query(f"""WITH b AS (SELECT item_id, trim(text) AS a, '{HINDI}' AS b FROM benchmark)
+SELECT item_id, CASE WHEN item_id % 2 = 0 THEN a ELSE regexp_replace(a || ' ' || b, '\\s+', ' ', 'g') END AS option FROM b""")
+def folded_options(spark, sf_dir):
+    again = F.when(F.col("item_id") % 2 == 0, F.concat(F.trim("text"), F.lit(" ?!"))).otherwise(F.lit(HINDI))
+    body = F.concat(F.trim("text"), F.lit(" ( B ) "), again)
+    return table(spark, sf_dir, "benchmark").select("item_id", bilingual.fold_option(body, F.lit("B")).alias("option"))
+
+
+@query(f"SELECT item_id, trim(regexp_replace(text, '[0-9]', '', 'g')) AS text, '{HINDI}' AS alt FROM benchmark")
+def twice_numbered(spark, sf_dir):
+    no = F.col("item_id") % 300 + 1
+    both = F.concat(F.lit(HINDI + " "), no.cast("string"), F.lit(". "), F.regexp_replace("text", "[0-9]", ""))
+    return table(spark, sf_dir, "benchmark").select("item_id", bilingual.own_number_split(no, both).alias("s")).select("item_id", "s.text", "s.alt")
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, max(event_id) AS f FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2)
+SELECT user_id, arg_min(event_type, (-n, f)) AS event_type, max(n) AS n FROM c GROUP BY 1""")
+def modal_values(spark, sf_dir):
+    return sequence.mode(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id")
+
+
+@query()
+def profile_peaks(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 100).alias("page_id"), F.dayofyear("l_shipdate").alias("at")).agg(F.count("*").cast("double").alias("ink"))
+    return sequence.peaks(rows, "page_id", "at", "ink", 8)
+
+
+@query("""WITH n AS (SELECT o_custkey, o_orderkey::DOUBLE AS pos, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - o_orderkey AS gap FROM orders),
+s AS (SELECT *, coalesce(greatest(floor(gap / 1000.0 + 0.5), 1), 1)::INT AS n FROM n), k AS (SELECT *, unnest(range(n)) AS k FROM s)
+SELECT o_custkey, round(pos + CASE WHEN k > 0 THEN gap * k::DOUBLE / n ELSE 0 END, 6) AS pos, k > 0 AS made FROM k""")
+def filled_lattice(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").cast("double").alias("pos"))
+    return sequence.fill_lattice(rows, "o_custkey", "pos", 1000.0).withColumn("pos", F.round("pos", 6))
+
+
+@query(ITEMS + """ SELECT match_id, no, CASE WHEN no % 3 = 0 THEN '12345' WHEN no % 3 = 1 THEN 'ABCD' ELSE 'ABCDE' END AS letters FROM rows""")
+def option_alphabets(spark, sf_dir):
+    rows = scored_rows(spark, sf_dir)
+    correct = F.when(F.col("no") % 3 == 0, "2").otherwise(F.col("correct"))
+    options = F.when(F.col("no") % 3 == 1, F.array(*[F.lit(f"({k}) x") for k in range(1, 5)]))
+    return rows.select("match_id", "no", F.array_join(analyze.alphabet(correct, F.col("mine"), options), "").alias("letters"))
