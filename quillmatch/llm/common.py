@@ -44,9 +44,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcasts a written table of at most limit narrow rows; a larger one joins by a shuffle."""
-    return F.broadcast(df) if df.count() <= limit else df.hint("shuffle_merge")
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
+    """Broadcasts a written table of at most limit narrow rows, or members of its lists; a larger one joins by a shuffle."""
+    n = df.agg(F.sum(F.size(lists))).first()[0] or 0 if lists else df.count()
+    return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
 
 
 def set_aside(docs: DataFrame, *used: str) -> DataFrame:

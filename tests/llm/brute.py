@@ -30,6 +30,11 @@ def levenshtein(a, b):
 
 
 def common(a, b):
+    same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return same + _common(a[same:], b[same:])
+
+
+def _common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
         new = [0]
@@ -48,11 +53,14 @@ def near_classes(docs, similarity=0.8):
     """{doc_id: class_id} of (doc_id, text) rows with distinct ids."""
     docs = sorted(docs)
     rows = [shingles(t) for _, t in docs]
+    counts = [Counter(x) for x in rows]
+    enough = lambda c, n: c >= similarity * (n - c) - 1e-9
     links = []
     for i, a in enumerate(rows):
         for j in range(i):
-            b = rows[j]
-            if a and b and (c := common(a, b)) >= similarity * (len(a) + len(b) - c) - 1e-9:
+            b, n = rows[j], len(a) + len(rows[j])
+            # no common subsequence is longer than what both hold in any order
+            if a and b and enough((counts[i] & counts[j]).total(), n) and enough(common(a, b), n):
                 links.append((j, i))
     return {docs[i][0]: docs[r][0] for i, r in enumerate(groups(len(docs), links))}
 
