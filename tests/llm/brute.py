@@ -31,7 +31,9 @@ def levenshtein(a, b):
 
 def common(a, b):
     same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    return same + _common(a[same:], b[same:])
+    a, b = a[same:], b[same:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    return same + tail + _common(a[: len(a) - tail], b[: len(b) - tail])
 
 
 def _common(a, b):
@@ -67,7 +69,7 @@ def near_classes(docs, similarity=0.8):
 
 def lines_kept(docs, edits=2, min_chars=20):
     """{doc_id: (positions that stay among lines with a word, equal copies, near copies)}"""
-    out, seen = {}, []
+    out, seen = {}, {}
     for doc, text in sorted(docs):
         keep, equal, near = [], 0, 0
         for pos, line in enumerate((text or "").split("\n")):
@@ -76,11 +78,14 @@ def lines_kept(docs, edits=2, min_chars=20):
             if line in seen:
                 equal += 1
                 continue
-            if len(line) >= min_chars and any(len(s) >= min_chars and abs(len(s) - len(line)) <= edits and levenshtein(s, line) <= edits for s in seen):
+            # an edit takes one character away and brings one at most
+            letters = Counter(line)
+            close = lambda s: len(s) >= min_chars and abs(len(s) - len(line)) <= edits and (seen[s] - letters).total() <= edits and levenshtein(s, line) <= edits
+            if len(line) >= min_chars and any(map(close, seen)):
                 near += 1
             else:
                 keep.append(pos)
-            seen.append(line)
+            seen[line] = letters
         out[doc] = (keep, equal, near)
     return out
 
