@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillmatch.llm import toxicity
 from quillmatch.llm.bytescan import flat
 
-DATA = "/root/testdata/sf0.1"  # sf0.01 has 29 toxic rows to learn from and 6 to judge by
+DATA = "/root/testdata/sf0.1"  # sf0.01 has 45 toxic rows to learn from and 6 to judge by
 
 
 def test_gradients_are_those_of_the_loss():
