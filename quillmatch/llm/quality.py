@@ -1,7 +1,7 @@
 """Quality rules by a hashed n-gram log-likelihood ratio, in built-in expressions only.
 
 Base counts per text; then the mean, over a text's words and word pairs, of log p_target(bucket) - log p_raw(bucket).
-p_raw are the bucket shares over every document. p_target are those over a bounded sample of trusted documents.
+p_raw are the bucket shares over every document. p_target are those over every trusted document.
 A document is kept when its base rules hold and its mean ratio reaches a fixed threshold: no random draw.
 
 Null or empty text: no words, all counts 0, base_failed, not kept, score 0. Repeated rows each get a row. Columns
@@ -14,11 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, put_back, set_aside, table
+from .common import SPACE, WORD, put_back, set_aside, small_or_shuffled, table, written
 
 BUCKETS = 1 << 14
-#: Trusted documents that teach the target multinomial, at most; those with the least hash of doc_id are taken.
-TRUSTED = 20_000
 #: Nats per n-gram below which a text is held to be unlike the target.
 THRESHOLD = -0.12
 WINDOW = 5
@@ -90,9 +88,8 @@ def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
 def ratio_table(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """One row, one column: the array of BUCKETS log ratios, add-one smoothed. Its size does not grow with docs."""
     spark = docs.sparkSession
-    ids = trusted_ids.select("doc_id").where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
-    target = bucket_counts(docs.join(F.broadcast(ids), "doc_id", "left_semi"), "t")
+    ids = written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
+    target = bucket_counts(docs.join(small_or_shuffled(ids), "doc_id", "left_semi"), "t")
     every = bucket_counts(docs, "r")
     both = (
         spark.range(BUCKETS)

@@ -7,7 +7,7 @@ import brute
 import pytest
 import xxhash
 
-from quillmatch.llm import quality
+from quillmatch.llm import common, quality
 
 SCHEMA = "doc_id long, text string, score string, _words string, kept string"
 
@@ -77,3 +77,13 @@ def test_no_rows_and_no_labels(spark):
     none = spark.createDataFrame([], "doc_id long")
     assert quality.score(docs.limit(0), none).count() == 0
     assert {r.score for r in quality.score(docs, none).collect()} == {0.0}
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_every_trusted_document_counts(spark, monkeypatch, limit):
+    monkeypatch.setattr(quality, "small_or_shuffled", lambda ids: common.small_or_shuffled(ids, limit), raising=False)
+    rows = [(i, f"w{i} x{i % 7}") for i in range(21_000)]
+    trusted = set(range(20_500))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dict(quality.score(docs, spark.createDataFrame([(i,) for i in trusted], "doc_id long")).select("doc_id", "score").collect())
+    assert found == pytest.approx(dict(enumerate(expected_scores(rows, trusted))), abs=1e-9)
