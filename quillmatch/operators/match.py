@@ -5,6 +5,7 @@ Every frame carries match_id, the pair of documents that a row belongs to, so on
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable
 
 import pandas as pd
@@ -17,6 +18,18 @@ from quillmatch.functions import text as X
 THRESHOLD = 0.42
 LADDER = (0.42, 0.34, 0.28)
 COVERED = 0.9
+#: Scored pairs of a match, at most, that one task assigns; larger matches take rounds over all tasks, with the same result.
+TOGETHER = 200_000
+#: Width of the stretches of an index that are ranked apart.
+STRETCH = 1000
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the checkpoint folder; a local one is set only where the session has none."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
 
 
 def last_of_number(keys: DataFrame) -> DataFrame:
@@ -48,13 +61,30 @@ def candidate_pairs(p: DataFrame, k: DataFrame) -> DataFrame:
     return left.join(right, ["match_id", "token"]).select("match_id", "p_idx", "k_idx").distinct()
 
 
+def alike_pairs(p: DataFrame, k: DataFrame, least: float) -> DataFrame:
+    """(match_id, p_idx, k_idx) of signatures, among them all whose character pairs have a dice of least (above 0) or more.
+
+    Two such sets have least / (2 - least) of each one's members in common, so in one order of the members they meet in the
+    first ones of each, as many as leave fewer than that.
+    """
+    size = F.size("bg")
+    first = F.greatest(size - F.ceil(size * (least / (2 - least)) - 1e-6) + 1, F.lit(0)).cast("int")
+    head = lambda df, idx: df.select("match_id", idx, F.explode(F.slice(F.sort_array("bg"), F.lit(1), first)).alias("pair")).distinct()
+    return head(p, "p_idx").join(head(k, "k_idx"), ["match_id", "pair"]).select("match_id", "p_idx", "k_idx").distinct()
+
+
 def content_scores(p: DataFrame, k: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(match_id, p_idx, k_idx, s): the best score over the language variants, where it reaches the threshold.
 
     What bounds the score from above without the character pairs is tried first. Thresholds up to 0.3 can be reached
-    without a common token, so there all pairs of one match are scored.
+    without a common token, by character pairs alone. Only a threshold of 0, which every pair reaches, scores all pairs of a match.
     """
-    ids = candidate_pairs(p, k) if threshold > 0.3 else p.select("match_id", "p_idx").distinct().join(k.select("match_id", "k_idx").distinct(), "match_id")
+    if threshold > 0:
+        ids = candidate_pairs(p, k)
+        if threshold <= 0.3:
+            ids = ids.unionByName(alike_pairs(p, k, threshold / 0.3)).distinct()
+    else:
+        ids = p.select("match_id", "p_idx").distinct().join(k.select("match_id", "k_idx").distinct(), "match_id")
     a = p.select("match_id", "p_idx", *[F.col(c).alias(f"a_{c}") for c in ("tok", "wide", "bg", "len")])
     b = k.select("match_id", "k_idx", *[F.col(c).alias(f"b_{c}") for c in ("tok", "wide", "bg", "len")])
     rows = ids.join(a, ["match_id", "p_idx"]).join(b, ["match_id", "k_idx"])
@@ -77,18 +107,45 @@ def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
 
 
 def greedy(pairs: DataFrame) -> DataFrame:
-    """One-to-one assignment by falling score, ties by p_idx, then k_idx. A match holds at most a thousand items a side."""
+    """One-to-one assignment by falling score, ties by p_idx, then k_idx.
+
+    Matches of at most TOGETHER pairs are assigned in one task each. In larger ones, each round takes the pairs that come first
+    in that order both for their p_idx and for their k_idx, which are those that going through the pairs one by one takes too.
+    """
     kind = pairs.schema["match_id"].dataType.simpleString()
     p, k = pairs.schema["p_idx"].dataType.simpleString(), pairs.schema["k_idx"].dataType.simpleString()
-    return pairs.groupBy("match_id").applyInPandas(_greedy, f"match_id {kind}, p_idx {p}, k_idx {k}, confidence double, method string")
+    pairs = checkpointed(pairs.select("match_id", "p_idx", "k_idx", "s"))
+    done, left = None, pairs
+    while True:
+        large = left.groupBy("match_id").count().where(F.col("count") > TOGETHER).select("match_id")
+        large = checkpointed(large)
+        small = left.join(large, "match_id", "left_anti") if (more := not large.isEmpty()) else left
+        found = small.groupBy("match_id").applyInPandas(_greedy, f"match_id {kind}, p_idx {p}, k_idx {k}, confidence double, method string")
+        done = found if done is None else done.unionByName(found)
+        if not more:
+            return done
+        left = left.join(large, "match_id", "left_semi")
+        place = F.min(F.struct((-F.col("s")).alias("order"), "p_idx", "k_idx")).alias("b")
+        firsts = [left.groupBy("match_id", c).agg(place).select("match_id", "b.p_idx", "b.k_idx", (-F.col("b.order")).alias("confidence")) for c in ("p_idx", "k_idx")]
+        both = checkpointed(firsts[0].join(firsts[1].drop("confidence"), ["match_id", "p_idx", "k_idx"]))
+        done = done.unionByName(both.withColumn("method", F.lit("content")))
+        left = checkpointed(left.join(both, ["match_id", "p_idx"], "left_anti").join(both, ["match_id", "k_idx"], "left_anti"))
+
+
+def ranked(rows: DataFrame, idx: str) -> DataFrame:
+    """rows(match_id, idx), idx a number, with its rank in the match and n, the rows of the match; stretches of idx are ranked apart."""
+    rows = rows.withColumn("_stretch", F.floor(F.col(idx) / STRETCH))
+    order = W.partitionBy("match_id").orderBy("_stretch")
+    counts = rows.groupBy("match_id", "_stretch").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.sum("_n").over(order) - F.col("_n")).withColumn("n", F.sum("_n").over(W.partitionBy("match_id")))
+    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("match_id", "_stretch").orderBy(idx)))
+    return rows.join(counts, ["match_id", "_stretch"]).select("match_id", idx, (F.col("_rank") + F.col("_before")).alias("rank"), "n")
 
 
 def position_fallback(paper: DataFrame, keys: DataFrame, assigned: DataFrame) -> DataFrame:
     """Pairs what is left over on both sides in order, where it is as many and few: 3 or a quarter of the paper."""
-    left = paper.select("match_id", "p_idx").join(assigned, ["match_id", "p_idx"], "left_anti")
-    right = keys.select("match_id", "k_idx").join(assigned, ["match_id", "k_idx"], "left_anti")
-    left = left.withColumn("rank", F.row_number().over(W.partitionBy("match_id").orderBy("p_idx"))).withColumn("n", F.count("*").over(W.partitionBy("match_id")))
-    right = right.withColumn("rank", F.row_number().over(W.partitionBy("match_id").orderBy("k_idx"))).withColumn("n", F.count("*").over(W.partitionBy("match_id")))
+    left = ranked(paper.select("match_id", "p_idx").join(assigned, ["match_id", "p_idx"], "left_anti"), "p_idx")
+    right = ranked(keys.select("match_id", "k_idx").join(assigned, ["match_id", "k_idx"], "left_anti"), "k_idx")
     size = paper.groupBy("match_id").agg(F.count("*").alias("size"))
     both = left.join(right, ["match_id", "rank", "n"]).join(size, "match_id").where(F.col("n") <= F.greatest(F.lit(3.0), 0.25 * F.col("size")))
     return both.select("match_id", "p_idx", "k_idx", F.lit(0.3).alias("confidence"), F.lit("position").alias("method"))
@@ -97,7 +154,7 @@ def position_fallback(paper: DataFrame, keys: DataFrame, assigned: DataFrame) ->
 def by_content(paper: DataFrame, keys: DataFrame, threshold: float = THRESHOLD, fallback: bool = True, scores: DataFrame | None = None) -> DataFrame:
     """Assignment of paper items to key items by their wording."""
     scores = content_scores(signatures(paper, "p_idx"), signatures(keys, "k_idx"), threshold) if scores is None else scores.where(F.col("s") >= threshold)
-    found = greedy(scores)
+    found = checkpointed(greedy(scores))
     return found.unionByName(position_fallback(paper, keys, found)) if fallback else found
 
 
@@ -107,7 +164,7 @@ def ladder(paper: DataFrame, keys: DataFrame, rungs: Iterable[float] = LADDER) -
     Pairs are scored once, for the lowest rung; each rung filters them.
     """
     rungs = list(rungs)
-    scores = content_scores(signatures(paper, "p_idx"), signatures(keys, "k_idx"), min(rungs))
+    scores = checkpointed(content_scores(signatures(paper, "p_idx"), signatures(keys, "k_idx"), min(rungs)))
     size = paper.groupBy("match_id").agg(F.count("*").alias("size"))
     runs = None
     for i, rung in enumerate(rungs):

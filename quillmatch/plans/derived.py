@@ -49,7 +49,8 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def benchmark_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """One match: the benchmark items as a paper, and the same items under permuted numbers, cut to three quarters, as a key."""
-    rows = table(spark, sf_dir, "benchmark").withColumn("n", F.count("*").over(W.partitionBy()))
+    items = table(spark, sf_dir, "benchmark")
+    rows = items.crossJoin(F.broadcast(items.agg(F.count("*").alias("n"))))
     none = [F.lit(None).cast("array<string>").alias("options"), F.lit(None).cast("string").alias("alt"), F.lit(None).cast("array<string>").alias("alt_options")]
     paper = rows.select(F.lit(1).alias("match_id"), F.col("item_id").alias("p_idx"), (F.col("item_id") + 1).alias("no"), "text", *none)
     cut = F.substring("text", F.lit(1), (F.length("text") * 3 / 4).cast("int"))

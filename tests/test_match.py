@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import pandas as pd
@@ -88,3 +90,39 @@ def test_items(spark):
 def test_reads(spark):
     rows = spark.sql("select 'k' as k, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,h) as at from values (0), (11), (13), (24), (26) as t(h)")
     assert [r["at"].hour for r in sequence.read_dedup(rows).orderBy("at").collect()] == [0, 13, 2]
+
+
+def test_a_large_match_takes_rounds_with_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(match, "TOGETHER", 60, raising=False)
+    rng = random.Random(5)
+    rows = [(m, p, k, rng.choice([0.5, 0.6, 0.7, rng.random()])) for m, n in ((1, 20), (2, 5)) for p in range(n) for k in range(n) if rng.random() < 0.8]
+    frame = pd.DataFrame(rows, columns=["match_id", "p_idx", "k_idx", "s"])
+    expected = pd.concat([match._greedy(g) for _, g in frame.groupby("match_id")])
+    whole = match._greedy
+    monkeypatch.setattr(match, "_greedy", lambda pdf: whole(pdf) if len(pdf) <= 60 else pdf.loc[-1])
+    found = match.greedy(spark.createDataFrame(rows, "match_id int, p_idx int, k_idx int, s double"))
+    assert sorted(map(tuple, found.collect())) == sorted(expected.itertuples(index=False, name=None))
+
+
+def test_low_thresholds_need_no_cross_join(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(2, 14))) for _ in range(60)] + ["aaa aaaa aaaaa", "aaaaaa aaaaaaa aaaaaaaa", "of the", "", "zq zq"]
+    p, k = match.signatures(items(spark, "p_idx", texts), "p_idx"), match.signatures(items(spark, "k_idx", texts[::-1]), "k_idx")
+    every = {(r.p_idx, r.k_idx): r.s for r in match.content_scores(p, k, 0.0).collect()}
+    for threshold in (0.28, 0.2):
+        rows = match.content_scores(p, k, threshold)
+        assert {(r.p_idx, r.k_idx): r.s for r in rows.collect()} == {i: s for i, s in every.items() if s >= threshold}
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "pair" in plan
+    shared = {(r.p_idx, r.k_idx) for r in match.candidate_pairs(p, k).collect()}
+    assert {i for i, s in every.items() if s >= 0.28} - shared  # some are alike without a common token
+
+
+def test_left_over_ranks_go_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(match, "STRETCH", 3, raising=False)
+    p = spark.createDataFrame([(m, i * 2) for m in (1, 2) for i in range(40)], "match_id int, p_idx int")
+    k = spark.createDataFrame([(m, i * 5) for m in (1, 2) for i in range(40)], "match_id int, k_idx int")
+    done = spark.createDataFrame([(m, i * 2, i * 5) for m in (1, 2) for i in range(40) if i % 5], "match_id int, p_idx int, k_idx int")
+    rows = match.position_fallback(p, k, done)
+    assert sorted((r.match_id, r.p_idx, r.k_idx) for r in rows.collect()) == [(m, i * 2, i * 5) for m in (1, 2) for i in range(0, 40, 5)]
+    assert "_stretch" in rows._jdf.queryExecution().optimizedPlan().toString()
