@@ -374,9 +374,18 @@ def confidence_tags(spark, sf_dir):
     return scores.select("p_idx", "k_idx", tag.alias("tag"))
 
 
+#: Items of a printed paper at most, below every limit that a parser sets to its numbers.
+PRINTED = 100
+
+
+def _printed_in(booklets):
+    """The printed paper that an item is in: a booklet by remainder, cut into volumes of PRINTED items."""
+    return F.floor(F.col("item_id") / (booklets * PRINTED)) * booklets + F.col("item_id") % booklets
+
+
 def _printed(spark, sf_dir, booklets=10):
-    """The benchmark as one printed paper for each of so many booklets."""
-    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") % booklets).alias("doc_id"), F.col("item_id").alias("i"), "text")
+    """The benchmark as printed papers, as many as its size asks for; paper modulo booklets is the booklet, of which each is a volume."""
+    items = table(spark, sf_dir, "benchmark").select(_printed_in(booklets).alias("doc_id"), F.col("item_id").alias("i"), "text")
     items = items.withColumn("no", F.row_number().over(W.partitionBy("doc_id").orderBy("i")))
     line = F.concat(F.col("no").cast("string"), F.lit(". "), "text")
     return items.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
@@ -384,7 +393,11 @@ def _printed(spark, sf_dir, booklets=10):
 
 @query("""SELECT item_id % 10 AS doc_id, (row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id) - 1)::INT AS idx, row_number() OVER (PARTITION BY item_id % 10 ORDER BY item_id)::INT AS no, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM benchmark""")
 def parse_questions(spark, sf_dir):
-    return parse.questions(_printed(spark, sf_dir)).select("doc_id", "idx", "no", "text")
+    rows = parse.questions(_printed(spark, sf_dir))
+    items = table(spark, sf_dir, "benchmark").groupBy(_printed_in(10).alias("doc_id")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy(F.col("doc_id") % 10).orderBy("doc_id")) - F.col("n")  # one row for each volume
+    rows = rows.join(items.select("doc_id", before.cast("int").alias("before")), "doc_id")
+    return rows.select((F.col("doc_id") % 10).alias("doc_id"), (F.col("idx") + F.col("before")).alias("idx"), (F.col("no") + F.col("before")).alias("no"), "text")
 
 
 @query("SELECT l_orderkey AS doc_id, n AS no, a AS answer FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS n, chr((65 + l_suppkey % 4)::INT) AS a FROM lineitem)")
@@ -403,7 +416,7 @@ def chain_segments(spark, sf_dir):
 @query()
 def stem_match(spark, sf_dir):
     docs = _printed(spark, sf_dir).withColumnRenamed("doc_id", "match_id")
-    paper = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 10).alias("match_id"), F.col("item_id").alias("p_idx"), "text")
+    paper = table(spark, sf_dir, "benchmark").select(_printed_in(10).alias("match_id"), F.col("item_id").alias("p_idx"), "text")
     return parse.by_stem(paper, docs)
 
 
