@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -155,10 +156,26 @@ def read_key(route, text, image):
 def read_dedup(reads: DataFrame, hours: int = 12) -> DataFrame:
     """reads(k, at, ...): those that a cache with a fixed life from the first read would have to make; a hit does not renew it.
 
-    Windows tell where a key's reads are further apart than the life; only within such a stretch is the fold sequential.
+    The reads of a key come in order, as a stream of which only the last read that was made is kept. Reads without a time are none.
     """
-    life = hours * 3600
-    by_key = reads.groupBy("k").agg(F.sort_array(F.collect_list(F.col("at").cast("timestamp").cast("double"))).alias("ats"))
-    step = lambda a, x: F.when((F.size(a) == 0) | (x - F.element_at(a, -1) >= life), F.concat(a, F.array(x))).otherwise(a)
-    made = by_key.select("k", F.explode(F.aggregate("ats", F.array().cast("array<double>"), step)).alias("at"))
-    return made.select("k", F.timestamp_seconds("at").alias("at"))
+    life = hours * 3600 * 1_000_000
+    rows = reads.select("k", F.unix_micros(F.col("at").cast("timestamp")).alias("at")).where("at is not null").distinct()
+
+    def run(batches):
+        key = last = None
+        for pdf in batches:
+            keys, ats = [], []
+            for k, g in pdf.groupby("k", sort=False, dropna=False):
+                times = g["at"].to_numpy()
+                if last is None or not (k == key or (pd.isna(k) and pd.isna(key))):
+                    key, last = k, times[0] - life
+                i = times.searchsorted(last + life)
+                while i < len(times):
+                    last = times[i]
+                    keys.append(None if pd.isna(k) else k)
+                    ats.append(last)
+                    i = times.searchsorted(last + life)
+            yield pd.DataFrame({"k": pd.Series(keys, dtype=object), "at": pd.Series(ats, dtype="int64")})
+
+    made = rows.repartition("k").sortWithinPartitions("k", "at").mapInPandas(run, f"k {reads.schema['k'].dataType.simpleString()}, at long")
+    return made.select("k", F.timestamp_micros("at").alias("at"))

@@ -126,3 +126,23 @@ def test_left_over_ranks_go_by_stretches(spark, monkeypatch):
     rows = match.position_fallback(p, k, done)
     assert sorted((r.match_id, r.p_idx, r.k_idx) for r in rows.collect()) == [(m, i * 2, i * 5) for m in (1, 2) for i in range(0, 40, 5)]
     assert "_stretch" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cached_reads_are_a_stream(spark):
+    rng = random.Random(6)
+    hours = [(rng.choice(["a", "b", None]), rng.randint(0, 200)) for _ in range(300)] + [("c", None), ("d", 7)]
+    expected, last = [], {}
+    for k, h in sorted((x for x in hours if x[1] is not None), key=lambda x: x[1]):
+        if k not in last or h - last[k] >= 12:
+            last[k] = h
+            expected.append((k, h * 3600))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        rows = sequence.read_dedup(spark.createDataFrame(hours, "k string, h long").select("k", F.timestamp_seconds(F.col("h") * 3600).alias("at")))
+        found = [(r.k, r.at) for r in rows.select("k", F.col("at").cast("long").alias("at")).collect()]
+    finally:
+        spark.conf.set(name, before)
+    assert sorted(found, key=repr) == sorted(expected, key=repr)
+    assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
