@@ -1,44 +1,60 @@
 """Main text of web pages by two passes over their blocks.
 
 A page is cut into blocks at block-level tags. The first pass decides: blocks in menus, headers, footers, sidebars,
-notices, adverts, forms or comments (by tag, or by a word of class, id or role) are boilerplate; the others are judged by
-link density, length and the density of function words. Blocks that are too short or too plain to tell stay open. In the
-second pass these take the label of the nearest decided neighbour. Where a page marks its main part (article, main),
-only blocks within it are text, and there a block is open until its links speak against it.
+notices, adverts, forms or comments (by tag, role, or a whole name in class or id) are boilerplate; the others are judged
+by link density, length and the density of function words. Blocks that are too short or too plain to tell stay open. In
+the second pass these take the label of the nearest decided neighbour. Where a page marks its main part (article, main),
+only blocks within it are text; there only runs of bare links are decided against, and open blocks follow their neighbours
+out only from between two of them. Names around the main part (a wrapper called `sidebar`, a form around the whole page)
+don't count where without them the page has no text.
 
-Defined results: null or empty html gives an empty text, n_chars 0; unclosed and stray tags are borne; a tag that the page
-ends in is dropped; repeated rows each get a row; extra columns are not read; an empty table gives no rows.
+Tags are read as browsers do: a quote opens a value only after `=`; a quote that nothing closes is a plain character. Time
+grows with the page's length, however deep its elements nest. Defined results: null or empty html gives an empty text,
+n_chars 0; unclosed and stray tags are borne; a tag that the page ends in is dropped with what follows it; repeated rows
+each get a row; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|template|noscript|textarea|title|iframe|svg|math|object|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)"
-    r"|<(/?)([a-zA-Z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*$",
-    re.S | re.I,
-)
-NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = r"""[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)?+)?+"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/=]++|{_ATTRIBUTE})*+)>|<[a-zA-Z].*|<(?:[!?]|/[^a-zA-Z])[^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 PART = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
-#: Elements by kind, and words of class, id or role that mark what is not the main text.
+#: Elements by kind.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-OUTSIDE = frozenset("head nav footer aside form button menu dialog input option datalist audio video canvas".split())
-MAIN = frozenset(["article", "main"])
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math mi mn mo ms mtext mrow msup msub mfrac msqrt q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+OUTSIDE = frozenset("head nav footer aside button menu dialog input option optgroup select datalist audio video canvas svg object template noscript annotation".split())
+IN_HEAD = frozenset("head meta title link script style base noscript template".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = frozenset("p div ul ol dl table article section header footer nav aside main form h1 h2 h3 h4 h5 h6 blockquote pre hr address figure".split())
+#: An element of the first kind ends an open one of its list, within the nearest of the elements that hold such lists.
+FOLLOWS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+HOLDS = frozenset("ul ol menu dl table select".split())
+CELLS = frozenset("table td th".split())
+#: Roles, and words of class or id, that mark what is not the main text.
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MARKED = frozenset(
     "nav navbar navigation menu menubar sidebar aside footer masthead ad ads adv advert advertisement adverts advertising banner "
-    "cookie cookies consent gdpr notice notices notification alert popup modal overlay promo promotion promoted sponsor sponsored "
+    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay promo promotion promoted sponsor sponsored "
     "comment comments commentlist disqus replies respond share sharing social related recommended breadcrumb breadcrumbs newsletter "
-    "subscribe subscription pagination pager widget toolbar login signin signup search copyright disclaimer legal toc skip".split()
+    "subscribe subscription pagination pager widget widgets toolbar login signin signup search copyright disclaimer legal skip".split()
+)
+#: Words that a name may hold beside these and still mean the same.
+BESIDE = frozenset(
+    "a the to top bottom left right inner outer main primary secondary first last site page post posts article articles entry blog story global "
+    "box container wrapper wrap block section area list item items links link button buttons bar panel module form list header policy message text".split()
 )
 #: Frequent function words of English, French, German and Spanish.
 FUNCTION_WORDS = frozenset(
@@ -51,111 +67,220 @@ FUNCTION_WORDS = frozenset(
 WORDS = re.compile(r"[^\W\d_]+")
 SHORT, LONG = 70, 200
 LINKS, PLAIN, DENSE = 0.33, 0.12, 0.22
+#: So many blocks of nothing but links in a row are a menu, also within an article.
+MENU, ALL_LINKS = 3, 0.9
 GOOD, BAD, OPEN, MAYBE = 1, 0, 2, 3
 
 
+class State(NamedTuple):
+    """Where a text stands. level: 2 in an article, 1 in another main part. named: within a marked name or form, which `outside` does not hold."""
+
+    outside: bool = False
+    named: bool = False
+    level: int = 0
+    link: bool = False
+    heading: bool = False
+
+
 class Block:
-    __slots__ = ("parts", "linked", "bad", "main", "heading")
+    __slots__ = ("parts", "linked", "state")
 
-    def __init__(self, bad: bool, main: bool, heading: bool):
+    def __init__(self, state: State):
         self.parts: list[str] = []
-        self.linked, self.bad, self.main, self.heading = 0, bad, main, heading
+        self.linked, self.state = 0, state
 
+    @property
+    def bad(self) -> bool:
+        return self.state.outside or self.state.named
 
-def _marked(name: str, rest: str, in_main: bool) -> bool:
-    if name in OUTSIDE or (name == "header" and not in_main):
-        return True
-    if "=" not in rest or name in ("body", "html") or name in MAIN:
-        return False
-    for found in NAMES.finditer(rest):
-        value = found[1] or found[2] or found[3] or ""
-        words = [w.lower() for w in PART.findall(value)]
-        if any(w in MARKED for w in words) or ("header" in words and not in_main) or value.lower() in ("contentinfo", "complementary", "banner"):
-            return True
-    return False
 
+def attributes(rest: str) -> dict[str, str]:
+    """Of a tag, by lower-case name; the first of a name counts."""
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(rest):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
+    return found
 
-def blocks_of(html: str) -> list[Block]:
-    """The blocks of a page in order, each with its text and what surrounds it."""
-    out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, whether what is in it is marked, whether it is in the main part
-    bad = main = heading = False
-    links, breaks, fresh = 0, 0, True
 
-    def text(piece: str) -> None:
-        nonlocal fresh, breaks
+def marks(name: str, in_main: bool) -> bool:
+    """Whether one name of class or id says that an element is no main text: all its words do, or stand beside such."""
+    words = {w.lower() for w in PART.findall(name)}
+    known = MARKED if in_main else MARKED | {"header"}
+    return bool(words & known) and words <= known | BESIDE
+
+
+def entered(name: str, rest: str, state: State, unnamed: bool) -> State:
+    """The state within an element. unnamed: no form and no name around a main part marks."""
+    outside = state.outside or name in OUTSIDE or (name == "header" and not state.level)
+    named = state.named or (name == "form" and not unnamed)
+    level = max(state.level, {"article": 2, "main": 1}.get(name, 0))
+    if "=" in rest and name not in ("html", "body"):
+        found = attributes(rest)
+        role = found.get("role", "").strip().lower()
+        outside = outside or role in ROLES
+        level = max(level, {"article": 2, "main": 1}.get(role, 0), 2 * ("articleBody" in found.get("itemprop", "").split()))
+        if level == state.level or name not in ("article", "main"):
+            named = named or any(marks(x, level > 0) for k in ("class", "id") for x in found.get(k, "").split())
+    if unnamed and level > state.level:
+        named = False
+    return State(outside, named, level, state.link or name == "a", state.heading or name in HEADINGS)
+
+
+class Page:
+    """Cuts a page into blocks while it is read from left to right."""
+
+    def __init__(self, unnamed: bool):
+        self.unnamed = unnamed
+        self.blocks: list[Block] = []
+        self.fresh, self.breaks = True, 0
+        self.stack: list[tuple[str, State]] = []
+        self.open: list[Counter] = [Counter()]  # open elements by name, within each open table or cell
+
+    @property
+    def state(self) -> State:
+        return self.stack[-1][1] if self.stack else State()
+
+    def text(self, piece: str) -> None:
         if not piece or not (piece := unescape(piece)):
             return
         if not piece.strip():
-            if out and not fresh:
-                out[-1].parts.append(" ")
+            if self.blocks and not self.fresh:
+                self.blocks[-1].parts.append(" ")
+            return
+        state = self.state
+        if self.fresh or self.blocks[-1].bad != (state.outside or state.named):
+            self.blocks.append(Block(state))
+            self.fresh = False
+        self.breaks = 0
+        self.blocks[-1].parts.append(piece)
+        if state.link:
+            self.blocks[-1].linked += len(piece)
+
+    def line_break(self) -> None:
+        self.breaks += 1
+        if self.breaks > 1:
+            self.fresh = True
+        elif self.blocks and not self.fresh:
+            self.blocks[-1].parts.append(" ")
+
+    def pop(self) -> str:
+        name = self.stack.pop()[0]
+        if name in CELLS:
+            self.open.pop()
+        self.open[-1][name] -= 1
+        return name
+
+    def pop_to(self, names: tuple[str, ...]) -> None:
+        while self.pop() not in names:
+            pass
+
+    def start(self, name: str, rest: str) -> None:
+        here = self.open[-1]
+        if here["head"] and name not in IN_HEAD:
+            self.pop_to(("head",))
+        if name in CLOSES_P and here["p"]:
+            self.pop_to(("p",))
+        if name == "a" and here["a"]:
+            self.end("a")
+        if name in FOLLOWS:
+            self.follow(FOLLOWS[name])
+        if name in VOID or (rest.rstrip().endswith("/") and name in ("svg", "math", "object")):
             return
-        if fresh:
-            out.append(Block(bad, main, heading))
-            fresh = False
-        breaks = 0
-        out[-1].parts.append(piece)
-        if links:
-            out[-1].linked += len(piece)
-
-    at = 0
-    for token in TOKEN.finditer(html):
-        text(html[at : token.start()])
+        state = entered(name, rest, self.state, self.unnamed)
+        if name in INLINE and state == self.state and not self.open[-1][name]:
+            return  # it changes nothing, so its end needn't be known
+        self.stack.append((name, state))
+        self.open[-1][name] += 1
+        if name in CELLS:
+            self.open.append(Counter())
+
+    def follow(self, names: tuple[str, ...]) -> None:
+        for name, _ in reversed(self.stack):
+            if name in names:
+                self.pop_to(names)
+                if name != "tr" and "tr" in names:
+                    self.follow(names)
+                return
+            if name in HOLDS:
+                return
+
+    def end(self, name: str) -> None:
+        if name in INLINE:
+            for above, _ in reversed(self.stack):
+                if above == name:
+                    return self.pop_to((name,))
+                if above not in INLINE:
+                    return None
+        elif name in CELLS or name in ("tr", "tbody", "thead", "tfoot"):
+            if any(x[name] for x in self.open):
+                self.pop_to((name,))
+        elif self.open[-1][name] > 0:
+            self.pop_to((name,))
+        return None
+
+
+def blocks_of(html: str, unnamed: bool = False) -> list[Block]:
+    """The blocks of a page in order, each with its text and what surrounds it."""
+    page, at = Page(unnamed), 0
+    while token := TOKEN.search(html, at):
+        page.text(html[at : token.start()])
         at = token.end()
-        name = (token[3] or "").lower()
-        if not name:
-            continue
+        name = (token[2] or "").lower()
         if name == "br":
-            breaks += 1
-            if breaks > 1:
-                fresh = True
-            elif out and not fresh:
-                out[-1].parts.append(" ")
-            continue
-        if name not in INLINE:
-            fresh = True
-        if name in VOID:
-            continue
-        if not token[2]:
-            if name in CLOSES_P and any(x[0] == "p" for x in stack):
-                while stack.pop()[0] != "p":
-                    pass
-                bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if token[4].rstrip().endswith("/") and name in INLINE:
-                continue
-            bad = bad or _marked(name, token[4], main)
-            main = main or name in MAIN or 'role="main"' in token[4] or "articleBody" in token[4]
-            stack.append((name, bad, main))
-        elif any(x[0] == name for x in stack):
-            while stack.pop()[0] != name:
-                pass
-            bad, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        links = sum(x[0] == "a" for x in stack)
-        heading = any(x[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for x in stack)
-    text(html[at:])
-    return out
+            page.line_break()
+        elif name:
+            if name not in INLINE:
+                page.fresh = True
+            if token[1]:
+                page.end(name)
+            elif name in RAW:
+                page.start("title" if page.open[-1]["head"] else "script", "")
+                page.pop()
+                ends = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
+                at = ends.start() if ends else len(html)
+            else:
+                page.start(name, token[3])
+    page.text(html[at:])
+    return page.blocks
 
 
-def first_pass(text: str, block: Block, marked_main: bool) -> int:
-    """GOOD, BAD, or open: MAYBE leans to good when its neighbours disagree."""
-    if block.bad or (marked_main and not block.main):
+def first_pass(text: str, block: Block, top: int) -> int:
+    """GOOD, BAD, or open: MAYBE leans to good when its neighbours disagree. top: the level of the page's main part."""
+    if block.bad or (top and not block.state.level):
         return BAD
     linked = block.linked / max(1, sum(map(len, block.parts)))
-    if linked > LINKS:
-        return BAD
     words = WORDS.findall(text.lower())
     dense = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
-    if block.main:
-        return GOOD if len(text) >= SHORT and dense >= PLAIN else MAYBE
+    if top and block.state.level == top:
+        return GOOD if linked <= LINKS and len(text) >= SHORT and dense >= PLAIN else MAYBE
+    if linked > LINKS:
+        return BAD
     if len(text) < SHORT:
-        return MAYBE if block.heading else OPEN
+        return MAYBE if block.state.heading else OPEN
     if dense >= DENSE:
         return GOOD if len(text) >= LONG else MAYBE
     return OPEN if dense >= PLAIN else BAD
 
 
-def second_pass(labels: list[int], default: int) -> list[int]:
-    """Open blocks take the label of the nearest decided one; at equal distance, MAYBE becomes good if either is."""
+def menus(blocks: list[Block]) -> list[bool]:
+    """Which blocks are in a run of MENU or more that hold nothing but links."""
+    links = [b.linked > ALL_LINKS * sum(map(len, b.parts)) for b in blocks]
+    out, at = [False] * len(links), 0
+    while at < len(links):
+        to = at
+        while to < len(links) and links[to] == links[at]:
+            to += 1
+        if links[at] and to - at >= MENU:
+            out[at:to] = [True] * (to - at)
+        at = to
+    return out
+
+
+def second_pass(labels: list[int], default: int, marked: bool = False) -> list[int]:
+    """Open blocks take the label of the nearest decided one; at equal distance, MAYBE becomes good if either is.
+
+    In a marked main part MAYBE is good but between two bad ones.
+    """
     n, before, after = len(labels), [], []
     last = -1
     for i, x in enumerate(labels):
@@ -172,7 +297,9 @@ def second_pass(labels: list[int], default: int) -> list[int]:
             out.append(x)
             continue
         low, high = before[i], after[i]
-        if low < 0 and high == n:
+        if marked and x == MAYBE:
+            out.append(max(GOOD if low < 0 else labels[low], GOOD if high == n else labels[high]))
+        elif low < 0 and high == n:
             out.append(default if x == OPEN else GOOD)
         elif high == n or (low >= 0 and i - low < high - i):
             out.append(labels[low])
@@ -184,19 +311,27 @@ def second_pass(labels: list[int], default: int) -> list[int]:
     return out
 
 
-def main_text(html: str) -> str:
-    blocks = [(x, t) for x in blocks_of(html) if (t := " ".join("".join(x.parts).split()))]
-    marked_main = any(x.main and not x.bad for x, _ in blocks)
-    labels = [first_pass(t, x, marked_main) for x, t in blocks]
-    if marked_main:  # within the main part, only its own blocks are neighbours
-        inside = [i for i, (x, _) in enumerate(blocks) if x.main and not x.bad]
-        for i, label in zip(inside, second_pass([labels[i] for i in inside], GOOD), strict=True):
-            labels[i] = label
-    else:
+def _main_text(html: str, unnamed: bool) -> str:
+    blocks = [(x, t) for x in blocks_of(html, unnamed) if (t := " ".join("".join(x.parts).split()))]
+    top = max((x.state.level for x, _ in blocks if not x.bad), default=0)
+    labels = [first_pass(t, x, top) for x, t in blocks]
+    if not top:
         labels = second_pass(labels, BAD)
+    else:  # within the main part, only its own blocks are neighbours
+        inside = [i for i, (x, _) in enumerate(blocks) if x.state.level and not x.bad]
+        listed = menus([blocks[i][0] for i in inside])
+        own = second_pass([BAD if m else labels[i] for i, m in zip(inside, listed, strict=True)], GOOD, True)
+        if not any(own):
+            own = [GOOD] * len(own)
+        for i, label in zip(inside, own, strict=True):
+            labels[i] = label
     return "\n".join(t for (_, t), label in zip(blocks, labels, strict=True) if label == GOOD)
 
 
+def main_text(html: str) -> str:
+    return _main_text(html, False) or _main_text(html, True)
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) to (page_id, url, text, n_chars)."""
 

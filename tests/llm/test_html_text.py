@@ -1,4 +1,6 @@
 import random
+import time
+from html.parser import HTMLParser
 
 import pytest
 
@@ -62,3 +64,95 @@ def test_made_pages_give_their_articles(spark):
     assert {r.page_id: r.text for r in found} == expected
     assert all(r.n_chars == len(r.text) for r in found) and len(found) == len(rows)
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "expected"),
+    [
+        (f"<article><p title=it's>{PROSE}</p><p>It's {PROSE}</p></article>", f"{PROSE}\nIt's {PROSE}"),
+        (f"<article><p title=its'>{PROSE}</p><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p title=\"open>{PROSE}</p><p>{PROSE}</p></article>", f"{PROSE}\n{PROSE}"),
+        *[(f'<article><p>{PROSE}</p><p class="{c}">{PROSE}</p></article>', f"{PROSE}\n{PROSE}") for c in ("share-price", "notice-board", "related-work", "toc-list")],
+        *[(f'<article><p>{PROSE}</p><div class="x {c}"><p>{PROSE}</p></div></article>', PROSE) for c in ("share-buttons", "shareButtons", "ad", "post-comments", "related-posts", "cookie_notice", "page-footer")],
+        (f"<article><p><a href=a>{PROSE}</a> and</p><p>Short</p><p>{PROSE}</p></article>", f"{PROSE} and\nShort\n{PROSE}"),
+        (f"<article><p><a href=a>{PROSE}</a></p></article>", PROSE),
+        (f"<div>{PROSE}</div><div role='main'><p>{PROSE}!</p></div><div>{PROSE}</div>", f"{PROSE}!"),
+        (f"<article><svg viewBox='0 0 1 1'/><p>{PROSE}</p><object data=x /><title-bar>t</title-bar><math><mi>x</mi><mo>=</mo><mn>2</mn></math></article>", f"{PROSE}\nt\nx=2"),
+        (f"<article><p>{PROSE}</p><svg><text>no</text></svg><object>no</object><noscript>no</noscript></article>", PROSE),
+        (f'<div class="layout has-sidebar"><article><p>{PROSE}</p></article></div>', PROSE),
+        (f'<div class="sidebar"><article><p>{PROSE}</p></article></div>', PROSE),
+        (f"<form id=all><div>{PROSE}</div></form>", PROSE),
+        (f'<article><p>{PROSE}</p></article><ol class="comment-list"><li><article class=comment><p>{PROSE}</p></article></ol>', PROSE),
+        (f"<article><p>{PROSE}</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul><p>Short</p></article>", f"{PROSE}\nShort"),
+        (f"<article><ul><li>{PROSE}<li class=ad>no {PROSE}<li>{PROSE}</ul></article>", f"{PROSE}\n{PROSE}"),
+        (f"<head><title>T</title><p>{PROSE}</p>", PROSE),
+        (f"<article><table><tr><td>{PROSE}</div></td><td><aside>no</aside>{PROSE}</table></article>", f"{PROSE}\n{PROSE}"),
+    ],
+)
+def test_marks_quotes_and_links(html, expected):
+    assert text(html) == expected
+
+
+@pytest.mark.parametrize("piece", ["<b>", "<div>", "<i><div>", "<table><td>", "<b class=ad>", "<a href='", '<x y="', "<ul><li>", "</div>", "<!--", "<a <"])
+def test_time_grows_with_length_only(piece):
+    took = []
+    for n in (10_000, 80_000):
+        began = time.process_time()
+        assert text(f"<article><p>{PROSE}</p>" + piece * n).startswith(PROSE)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
+
+
+class Plain(HTMLParser):
+    """Another parser: the text blocks of the article, without what its tags and classes mark."""
+
+    def __init__(self):
+        super().__init__()
+        self.stack, self.blocks, self.fresh = [], [], True
+
+    def handle_starttag(self, tag, attrs):
+        out = tag in ("nav", "aside", "footer", "form", "script", "style") or any((v or "") in ("ad", "share-buttons", "comments") for _, v in attrs)
+        self.fresh = self.fresh or tag not in ("b", "i", "a", "span")
+        if tag != "br":
+            self.stack.append((tag, out))
+
+    def handle_endtag(self, tag):
+        self.fresh = self.fresh or tag not in ("b", "i", "a", "span")
+        while self.stack.pop()[0] != tag:
+            pass
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.stack) and not any(out for _, out in self.stack) and data.strip():
+            if self.fresh:
+                self.blocks.append("")
+            self.blocks[-1] += data
+            self.fresh = False
+        elif self.blocks and not self.fresh:
+            self.blocks[-1] += data if any(t == "article" for t, _ in self.stack) else ""
+
+
+def test_random_articles_against_another_parser():
+    rng = random.Random(17)
+    words = "the of and to in a river stone house night water people valley mill dam wall leave come &amp; caf&eacute; &lt;b&gt; x".split()
+    quote = lambda v: rng.choice(['"{}"', "'{}'", " {} "]).format(v).strip()
+    extra = lambda: "".join(rng.choice([" data-x=it's", " hidden", ' title="a > b"', " lang=en", " data-y='<p>'", ""]) for _ in range(2))
+
+    def inline():
+        w = lambda: " ".join(rng.choices(words, k=rng.randint(3, 25)))
+        parts = [rng.choice(["{}", "<b>{}</b>", f"<a href={quote('/x')}>{{}}</a>", f"<span{extra()}>{{}}</span>"]).format(w()) for _ in range(rng.randint(2, 4))]
+        return " ".join([w(), *parts])
+
+    def body(depth):
+        kind = rng.random()
+        if kind < 0.25 and depth < 6:
+            return f"<{(t := rng.choice(['div', 'section', 'blockquote']))}{extra()}>{body(depth + 1)}{body(depth + 1)}</{t}>"
+        if kind < 0.4:
+            return rng.choice(["<aside>{}</aside>", "<nav>{}</nav>", f"<div class={quote('ad')}>{{}}</div>", f"<p id={quote('comments')}>{{}}</p>", "<form>{}</form>", "<script>{}<p></script>", "<!-- {} -->"]).format(inline())
+        return f"<p{extra()}>{inline()}</p>"
+
+    for _ in range(300):
+        inner = "<p>" + inline() + "</p>" + "".join(body(0) for _ in range(rng.randint(1, 6)))
+        html = f"<html><body><nav>{inline()}</nav><div>{inline()}</div><article{extra()}>{inner}</article><footer>{inline()}</footer></body></html>"
+        other = Plain()
+        other.feed(html)
+        assert text(html) == "\n".join(" ".join(b.split()) for b in other.blocks), html
