@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
-#: A side of at most so many rows of a few numbers each is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: A side of at most so many bytes is broadcast; larger sides are shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,34 +22,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one is set only where the session has none."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; a cluster has to name one that all share."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         where = context.getCheckpointDir()
     return where.rstrip("/")
 
 
+def _hadoop_path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target, files = _hadoop_path(spark, path)
+    files.deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, which cuts the lineage.
 
     The table goes when the driver's file system closes; losing an executor loses nothing of it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, label)[0]
+
+
+def width(kind: DataType) -> int:
+    """Bytes of a value of numbers as Spark keeps it in a row, about."""
+    return 16 + sum(width(f.dataType) for f in kind) if isinstance(kind, StructType) else 8
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, lists: str | None = None) -> DataFrame:
-    """Broadcasts a written table of at most limit narrow rows, or members of its lists; a larger one joins by a shuffle."""
-    n = df.agg(F.sum(F.size(lists))).first()[0] or 0 if lists else df.count()
-    return F.broadcast(df) if n <= limit else df.hint("shuffle_merge")
+def small_or_shuffled(df: DataFrame, lists: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts a written table of numbers, and of lists of such, that takes at most limit bytes; a larger one joins by a shuffle."""
+    facts = df.agg(F.count("*"), F.sum(F.size(lists)) if lists else F.lit(0)).first()
+    member = df.schema[lists].dataType if lists else ArrayType(df.schema)
+    taken = facts[0] * (24 + width(df.schema)) + (facts[1] or 0) * width(member.elementType)
+    return F.broadcast(df) if taken <= limit else df.hint("shuffle_merge")
 
 
 def set_aside(docs: DataFrame, *used: str) -> DataFrame:
@@ -65,9 +84,11 @@ def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b), a != b: one row (id, root) per linked id, root the smallest id reachable.
 
     Alternates the large-star and small-star steps until no edge changes. Every star is one grouped
-    aggregate and one join, the edges stay as many as they were, and each round is written to the shared folder.
+    aggregate and one join, the edges stay as many as they were, and each round is written to the shared folder, where the
+    round before then goes.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    spark = links.sparkSession
+    edges, path = _written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -76,7 +97,10 @@ def components(links: DataFrame) -> DataFrame:
         large = large.unionByName(edges.groupBy("u").agg(F.min("v").alias("v"))).where("u != v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        before_path = path
+        edges, path = _written(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        target, files = _hadoop_path(spark, before_path)
+        files.delete(target, True)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
