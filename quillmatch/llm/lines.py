@@ -4,11 +4,13 @@ A line (a \\n-part of a text that holds a word) goes when an equal line stands e
 earlier line both have MIN_CHARS characters or more and lie within EDITS edits of each other. Earlier means a lesser
 (doc_id, position). Such pairs share a segment: a line of n characters is cut into EDITS + 1 segments, and every line
 probes, for each admissible length, the substrings that an alignment within EDITS edits could map to a segment.
-Candidates whose character parities differ too much are ruled out inside the join, which loses nothing: an edit
-changes two parities at most. The rest is verified by a bit-parallel automaton over a band of 2 * EDITS + 1 diagonals.
+Lines that meet under a key are held against the earliest one there, then, where that fails, against the others in
+blocks, until one earlier line is verified. Pairs whose character parities differ too much are ruled out, which loses
+nothing; the rest is verified by a bit-parallel automaton over a band of 2 * EDITS + 1 diagonals.
 
 Defined results: null or empty texts have no lines and stay as they are; lines without a word are not judged and stay;
-rows that repeat a doc_id count as one document; extra columns go along; an empty table gives no rows.
+rows that repeat a doc_id count as one document, in which lines at one position are neither earlier than the other; so
+do rows with a null doc_id, a document before all others; extra columns go along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import WORD, put_back, set_aside, small_or_shuffled, table, written
 
 EDITS = 2
 MIN_CHARS = 20
+#: Lines of a bucket, and seekers among them, that one task holds at most, about.
+BLOCK = 4_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -75,39 +79,33 @@ def _segment(n: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndarray]
     return start, short + (from_end <= longer)
 
 
-def keys_of(codes: np.ndarray, starts: np.ndarray, edits: int, probes: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(line index, key) for the segments of the lines, or for the substrings that probe the segments of lines no longer than they are."""
-    rolling, n, parts = _Rolling(codes), np.diff(starts), edits + 1
-
-    def keyed(which: np.ndarray, of: np.ndarray, i: int, at: np.ndarray, length: np.ndarray):
-        with np.errstate(over="ignore"):
-            salt = mix64(of.astype(np.uint64) * np.uint64(parts) + np.uint64(i))
-            return which, mix64(rolling.of(starts[:-1][which] + at, length) ^ salt).view(np.int64)
+def keys_of(codes: np.ndarray, starts: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(line index, key, own) for the substrings of the lines that probe the segments of lines no longer than they are.
 
-    every = np.arange(len(n))
+    `own` marks a line's own segments, which are among its probes.
+    """
+    rolling, n, parts = _Rolling(codes), np.diff(starts), edits + 1
     for i in range(parts):
-        if not probes:
-            yield keyed(every, n, i, *_segment(n, i, parts))
-            continue
         for less in range(edits + 1):
             start, length = _segment(n - less, i, parts)
             low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+            with np.errstate(over="ignore"):
+                salt = mix64((n - less).astype(np.uint64) * np.uint64(parts) + np.uint64(i))
             for shift in range(low, high + 1):
                 at = start + shift
                 which = np.flatnonzero((at >= 0) & (at + length <= n))
-                yield keyed(which, (n - less)[which], i, at[which], length[which])
-
+                found = rolling.of(starts[:-1][which] + at[which], length[which])
+                yield which, mix64(found ^ salt[which]).view(np.int64), less == 0 and shift == 0
 
-def _emit_keys(probes: bool, edits: int):
-    names = ["key", "h", "parity"]
 
+def _emit_keys(edits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "line"):
-                codes, starts = _codes(batch.column("line"))
-                h, parity = batch.column("h").to_numpy(), _parity(codes, starts)
-                for which, key in keys_of(codes, starts, edits, probes):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[which]), pa.array(parity[which])], names)
+                h, first = np.unique(batch.column("h").to_numpy(), return_index=True)  # equal lines give equal keys
+                codes, starts = _codes(batch.column("line").take(pa.array(first)))
+                for which, key, own in keys_of(codes, starts, edits):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(h[which]), pa.array(np.full(len(key), own))], ["key", "h", "own"])
 
     return run
 
@@ -146,55 +144,136 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(reach[-1] >> (len(a) - len(b) + edits) & 1)
 
 
+def _bits(column: pa.Array) -> np.ndarray:
+    return _parity(*_codes(column)).view(np.uint32)
+
+
 def _verify(edits: int):
+    """Keeps the (h, g) of the rows whose two lines lie within so many edits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
-            ok = np.fromiter((within(x, y, edits) for x, y in zip(a, b, strict=True)), bool, len(a))
-            keep = batch.filter(pa.array(ok))
+            # an edit changes two parities at most
+            maybe = np.flatnonzero(np.bitwise_count(_bits(batch.column("line")) ^ _bits(batch.column("lead_line"))) <= 2 * edits)
+            some = batch.take(pa.array(maybe))
+            lines = zip(some.column("line").to_pylist(), some.column("lead_line").to_pylist(), strict=True)
+            keep = some.filter(pa.array([within(x, y, edits) for x, y in lines], pa.bool_()))
             yield pa.RecordBatch.from_arrays([keep.column("h"), keep.column("g")], ["h", "g"])
 
     return run
 
 
-def candidates(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(a, b), a < b: hashes of different lines that share a segment key and whose parities allow so few edits."""
-    distinct = lines.where(F.length("line") >= min_chars).groupBy("line").agg(F.count("*").alias("_n"))
-    distinct = distinct.select("line", F.xxhash64("line").alias("h"))
-    schema = "key long, h long, parity int"
-    index = distinct.mapInArrow(_emit_keys(False, edits), schema).alias("i")
-    probe = distinct.mapInArrow(_emit_keys(True, edits), schema).alias("p")
-    # as a long without its sign, for bit_count sees an int as the long of the same value
-    near = "i.key = p.key and i.h <> p.h and bit_count((i.parity ^ p.parity) & 4294967295L) <= " + str(2 * edits)
-    pairs = index.join(probe, F.expr(near)).select(F.least("i.h", "p.h").alias("a"), F.greatest("i.h", "p.h").alias("b"))
-    return pairs.distinct()
-
-
-def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h, g): the two hashes of each line that lies within so many edits of an earlier one."""
-    lines = lines_of(docs)
-    pairs = written(candidates(lines, edits, max(min_chars, edits + 1)), "pairs")
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "ids")
-    texts = lines.withColumn("h", F.xxhash64("line")).join(small_or_shuffled(ids), "h", "left_semi")
-    texts = texts.groupBy("h", "line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    texts = written(texts.withColumn("g", second_hash(F.col("line"))), "texts")
-    a, b = texts.alias("x"), texts.alias("y")
-    both = pairs.join(a, F.expr("a = x.h")).join(b, F.expr("b = y.h and x.line <> y.line"))
-    late = F.expr("x.first > y.first")
-    later = lambda c: F.when(late, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}"))
-    both = both.select(F.col("x.line").alias("line_a"), F.col("y.line").alias("line_b"), later("h").alias("h"), later("g").alias("g"))
-    return both.mapInArrow(_verify(edits), "h long, g long").distinct()
+class _Task:
+    """Witnesses and seekers of one block of a bucket, each in the order of their first places."""
+
+    def __init__(self):
+        self.rank, self.last = 0, None
+        self.witnesses: list[tuple[int, bool, int, str]] = []
+        self.seekers: list[tuple[int, bool, int, str, int, int]] = []
+
+    def add(self, seeks: bool, own: bool, first: tuple, bits: int, line: str, h: int, g: int) -> None:
+        if first != self.last:
+            self.rank, self.last = self.rank + 1, first
+        if seeks:
+            self.seekers.append((self.rank, own, bits, line, h, g))
+        else:
+            self.witnesses.append((self.rank, own, bits, line))
+
+    def found(self, edits: int) -> Iterator[tuple[int, int]]:
+        """(h, g) of the seekers that have an earlier witness; the first one ends a seeker's search."""
+        if not self.witnesses:
+            return
+        ranks, owns, bits, lines = zip(*self.witnesses, strict=True)
+        ranks, owns, bits = np.array(ranks), np.array(owns), np.array(bits, np.uint32)
+        size = np.fromiter(map(len, lines), np.int64, len(lines))
+        for rank, own, mine, line, h, g in self.seekers:
+            stop = int(np.searchsorted(ranks, rank))
+            for at in range(0, stop, 1024):
+                part = slice(at, min(stop, at + 1024))
+                maybe = (np.bitwise_count(bits[part] ^ np.uint32(mine)) <= 2 * edits) & (np.abs(size[part] - len(line)) <= edits)
+                if not own:
+                    maybe &= owns[part]
+                if any(within(lines[at + k], line, edits) for k in np.flatnonzero(maybe)):
+                    yield h, g
+                    break
+
+
+def _seek(edits: int):
+    names = ["key", "block", "turn", "seeks", "own", "doc_id", "pos", "h", "g"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by their task and then by first place; a task may go on in the next batch."""
+        held, task = None, _Task()
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            lines, bits = batch.column("line").to_pylist(), _bits(batch.column("line")).tolist()
+            columns = zip(*[batch.column(c).to_pylist() for c in names], lines, bits, strict=True)
+            for key, block, turn, seeks, own, doc, pos, h, g, line, mine in columns:
+                if (key, block, turn) != held:
+                    out += task.found(edits)
+                    held, task = (key, block, turn), _Task()
+                task.add(seeks, own, (doc, pos), mine, line, h, g)
+            yield _hashes(out)
+        yield _hashes(list(task.found(edits)))
+
+    return run
+
+
+def _hashes(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["h", "g"])
+
+
+def bucket_members(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """(key, own, h, g, first, line): the different lines of every bucket that holds two of them and a segment of one."""
+    lines = lines_of(docs).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    keys = lines.select("h", "line").mapInArrow(_emit_keys(edits), "key long, h long, own boolean")
+    # equal lines and hot keys shrink to a row a task before they are shuffled
+    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("own").alias("some"))
+    shared = written(shared.where("low <> high and some").select("key"), "buckets")
+    members = keys.join(small_or_shuffled(shared), "key").groupBy("key", "h").agg(F.max("own").alias("own"))
+    members = written(members, "members")
+    ids = written(members.select("h").distinct(), "ids")
+    texts = lines.join(small_or_shuffled(ids), "h", "left_semi").groupBy("h", "line").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
+    return members.join(texts.withColumn("g", second_hash(F.col("line"))), "h")
+
+
+def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
+    """(h, g): the two hashes of each line that lies within so many edits of an earlier one.
+
+    One earlier line is enough, so no list of pairs is made. Every member of a bucket is held against the earliest one that
+    has a segment there; what that settles seeks no further. The others look through the earlier members of their buckets.
+    """
+    full = written(bucket_members(docs, edits, max(min_chars, edits + 1)), "lines")
+    lead = full.where("own").groupBy("key").agg(F.min(F.struct("first", "h", "line")).alias("lead"))
+    facts = full.groupBy("key").agg(F.count("*").alias("n"), F.min("first").alias("start"))
+    with_lead = full.join(lead, "key").where(F.expr(f"first > lead.first and abs(length(line) - length(lead.line)) <= {edits}"))
+    settled = with_lead.select("h", "g", "line", F.col("lead.line").alias("lead_line")).mapInArrow(_verify(edits), "h long, g long")
+    settled = written(settled.distinct(), "settled")
+
+    open_ = full.join(settled, ["h", "g"], "left_anti").join(facts.join(lead, "key"), "key")
+    # a bucket of two is left open only where the earlier one has no segment of its own in it
+    open_ = open_.where("first > start and (n > 2 or (own and start < lead.first))")
+    seekers = written(open_.select("key", "own", "h", "g", "first", "line", "n"), "seekers")
+    cuts = seekers.groupBy("key").agg(F.ceil(F.max("n") / block).cast("int").alias("blocks"), F.ceil(F.count("*") / block).cast("int").alias("turns"))
+    place = lambda count: F.pmod(F.col("g"), count).cast("int")
+    each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    rest = ["own", "first.doc_id", "first.pos", "h", "g", "line"]
+    witnesses = full.join(cuts, "key").select("key", place("blocks").alias("block"), each("turns").alias("turn"), F.lit(False).alias("seeks"), *rest)
+    asking = seekers.join(cuts, "key").select("key", each("blocks").alias("block"), place("turns").alias("turn"), F.lit(True).alias("seeks"), *rest)
+    tasks = witnesses.unionByName(asking).repartition("key", "block", "turn").sortWithinPartitions("key", "block", "turn", "doc_id", "pos")
+    found = tasks.mapInArrow(_seek(edits), "h long, g long")
+    return settled.unionByName(found).distinct()
 
 
 def second_hash(line):
     return F.xxhash64(F.lit("second"), line)
 
 
-def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """(doc_id, kept, n_near): positions and hashes of the lines that stay, and how many first lines went as near copies."""
     hashed = lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("h"), second_hash(F.col("line")).alias("g"))
     firsts = hashed.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    near = near_lines(docs, edits, min_chars).withColumn("near", F.lit(True))
+    near = near_lines(docs, edits, min_chars, block).withColumn("near", F.lit(True))
     judged = firsts.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
     stays = F.when(~F.col("near"), F.struct(F.col("first.pos").alias("pos"), "h"))
     return judged.groupBy(F.col("first.doc_id").alias("doc_id")).agg(

@@ -24,11 +24,13 @@ def fixture():
     return [*rows, (60, None), (61, ""), (62, "\n\n \n"), (63, "\n".join(changed(rng.choice(base)) for _ in range(200))), (64, "long " * 5000), (65, "long " * 5000 + "x")]
 
 
-def test_lines_that_stay(spark):
+@pytest.mark.parametrize("block", [lines.BLOCK, 3])
+def test_lines_that_stay(spark, block):
+    """Also with buckets that are cut into blocks of three lines."""
     rows = fixture()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.lines_kept(rows)
-    found = {r.doc_id: r for r in lines.kept_lines(docs).collect()}
+    found = {r.doc_id: r for r in lines.kept_lines(docs, block=block).collect()}
     for doc, (keep, _, near) in expected.items():
         got = found.get(doc)
         assert ([k.pos for k in got.kept] if got else []) == keep
@@ -46,7 +48,26 @@ def test_texts_without_them_and_columns_of_any_name(spark):
     for row in full[:-1]:
         text = brute.without_lines(row[0], row[1], kept)
         assert found[row[0]] == (row[0], text, None if text is None else len(text), *row[3:])
-    assert found[None] == full[-1] or found[None][3:] == full[-1][3:]
+    assert found[None] == full[-1]
+
+
+def test_null_ids_are_one_document_before_all_others(spark):
+    line = "a line of more than twenty letters"
+    rows = [(None, f"{line}\nown"), (None, f"{line}!\nother"), (1, f"{line}?\nown\nlast"), (2, "last")]
+    found = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # neither of the two lines at place 0 of the null document is earlier
+    assert sorted((r.doc_id or 0, r.text) for r in found) == [(0, f"{line}!\nother"), (0, f"{line}\nown"), (1, "last"), (2, "")]
+
+
+def test_a_hot_group_of_near_copies_settles_without_pairs(spark):
+    """Every line of one large group finds its witness in the first: nothing is left to the search in blocks."""
+    rng = random.Random(3)
+    base = "the one line that a great many documents hold with another letter"
+    rows = [(0, base)] + [(i, base[:k] + rng.choice("abcxyz") + base[k + 1 :]) for i in range(1, 800) for k in [rng.randrange(len(base))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines.near_lines(docs).count() == len({t for _, t in rows}) - 1
+    tasks = lines.bucket_members(docs, 2, 20)
+    assert tasks.count() <= 12 * len(rows)
 
 
 def test_query_counts(spark, tmp_path):
