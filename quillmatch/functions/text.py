@@ -44,8 +44,7 @@ def normalize(text: Column, keep_marks: bool = False) -> Column:
 
 def tokens(text: Column, keep_marks: bool = False) -> Column:
     """Words of two characters or more that are no stop words, in order, repeats included."""
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    return F.filter(F.split(normalize(text, keep_marks), " "), lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
+    return F.filter(F.split(normalize(text, keep_marks), " "), lambda w: (F.length(w) >= 2) & ~w.isin(list(dict.fromkeys(STOP_WORDS))))
 
 
 def bigrams(text: Column) -> Column:
@@ -86,6 +85,11 @@ def script(text: Column) -> Column:
     return F.when(count_of(text, DEVANAGARI) > count_of(text, LATIN), "hi").otherwise("en")
 
 
+def has_hindi(text: Column) -> Column:
+    """Whether a page carries Hindi at all: eight Devanagari characters or more."""
+    return count_of(text, DEVANAGARI) >= 8
+
+
 def hindi_badness(text: Column) -> Column:
     """Share of Devanagari words that begin with a dependent sign or are one lone consonant; null where there is too little to tell."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[ऀ-ॿ]+"), F.lit(0))
@@ -118,8 +122,7 @@ def marked_answer(blob: Column) -> Column:
 
 def stems(normal: Column, length: int = 3, most: int = 10) -> Column:
     """The first phrases of neighbouring content words."""
-    skip = F.array(*[F.lit(w) for w in STEM_SKIP])
-    words = F.filter(F.split(normal, " "), lambda w: (F.length(w) > 2) & ~F.array_contains(skip, w) & ~w.rlike("^[0-9]+$"))
+    words = F.filter(F.split(normal, " "), lambda w: (F.length(w) > 2) & ~w.isin(list(dict.fromkeys(STEM_SKIP))) & ~w.rlike("^[0-9]+$"))
     count = F.least(F.size(words) - length + 1, F.lit(most))
     made = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.array_join(F.slice(words, i, length), " "))
     return F.when(count > 0, made).otherwise(F.array().cast("array<string>"))

@@ -5,11 +5,12 @@ Every frame carries match_id, the pair of documents that a row belongs to, so on
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,10 +26,13 @@ STRETCH = 1000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder; a local one is set only where the session has none."""
+    """df, computed once and kept in the checkpoint folder. Where none is set, a local session gets one; a cluster has to name one that all share."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -202,25 +206,67 @@ def dense(marks: DataFrame, key: DataFrame) -> DataFrame:
     return rows.join(mine, ["match_id", "no"], "left").join(correct, ["match_id", "no"], "left")
 
 
-def merge_translations(items: DataFrame) -> DataFrame:
-    """items(match_id, no, p_idx, text, script): the English row of a number takes the other one's text as alt.
+def dense_sheet(marks: DataFrame, key: DataFrame, sizes: DataFrame, most: int = 300) -> DataFrame:
+    """dense() for sheets of sizes(match_id, n) questions, n from 1 to `most`; key entries beyond `most` and marks beyond n are none."""
+    rows = sizes.select("match_id", F.greatest(F.lit(1), F.least(F.lit(most), "n")).cast("int").alias("n"))
+    rows = rows.select("match_id", F.explode(F.sequence(F.lit(1), "n")).alias("no"))
+    last = lambda df, name: df.where(F.col("no").between(1, most)).groupBy("match_id", "no").agg(F.max_by("answer", "ord").alias(name))
+    return rows.join(last(marks, "mine"), ["match_id", "no"], "left").join(last(key, "correct"), ["match_id", "no"], "left")
+
 
-    One row of either script is the usual case; of more, the first English row takes the last Hindi text, the rest stay.
+def merge_copies(items: DataFrame, key: str, idx: str) -> DataFrame:
+    """items(key, idx, no, text, options, alt, alt_options, raw, stmt, script) and place: a Hindi copy of a number goes into the English one.
+
+    The Hindi rows before the first English one go into the English ones in turn, each of which takes its copy's place in the
+    order. Those after it all go into the first English row, of which the last is its alt. What finds no English row stays.
+    Rows of one number of one document are few.
     """
-    hi = items.where("script = 'hi'").groupBy("match_id", "no").agg(F.max_by("text", "p_idx").alias("alt"))
-    en = items.where("script = 'en'").withColumn("_k", F.row_number().over(W.partitionBy("match_id", "no").orderBy("p_idx")))
-    merged = en.join(hi, ["match_id", "no"], "left").select("match_id", "no", "p_idx", "text", "script", F.when(F.col("_k") == 1, F.col("alt")).alias("alt"))
-    alone = items.where("script = 'hi'").join(items.where("script = 'en'"), ["match_id", "no"], "left_anti")
-    return merged.unionByName(alone.select("match_id", "no", "p_idx", "text", "script", F.lit(None).cast("string").alias("alt")))
+    items = items.withColumn("place", F.col(idx))
+    fields = [c for c in items.columns if c not in (key, "no")]
+    groups = items.groupBy(key, "no").agg(F.sort_array(F.collect_list(F.struct(idx, *[c for c in fields if c != idx]))).alias("all"))
+    of = lambda script: F.filter("all", lambda x: x["script"] == script)
+    groups = groups.withColumn("en", of("en")).withColumn("hi", of("hi"))
+    start = F.get("en", 0)[idx]
+    early, late = F.filter("hi", lambda x: start.isNull() | (x[idx] < start)), F.filter("hi", lambda x: x[idx] > start)
+    groups = groups.withColumn("early", early).withColumn("late", late)
+
+    def with_copies(e: Column, k: Column) -> Column:
+        mates = F.concat(F.slice("early", k + 1, F.lit(1)), F.when(k == 0, F.col("late")).otherwise(F.slice("late", 1, 0)))
+        mate, own = F.get(mates, F.size(mates) - 1), F.size(F.coalesce(e["options"], F.array().cast("array<string>"))) > 0
+        options = F.get(F.filter(F.transform(mates, lambda m: m["options"]), lambda o: F.size(o) > 0), 0)
+        made = {
+            "place": F.coalesce(F.get("early", k)[idx], e[idx]),
+            "alt": F.when(F.size(mates) > 0, mate["text"]).otherwise(e["alt"]), "alt_options": F.when(F.size(mates) > 0, mate["options"]).otherwise(e["alt_options"]),
+            "options": F.when(own, e["options"]).otherwise(F.coalesce(options, e["options"])),
+            "raw": F.array_join(F.concat(F.array(e["raw"]), F.transform(mates, lambda m: m["raw"])), " "),
+        }
+        return F.struct(*[made.get(c, e[c]).alias(c) for c in [idx, *[c for c in fields if c != idx]]])
+
+    left = F.slice("early", F.size("en") + 1, F.greatest(F.size("early") - F.size("en"), F.lit(0)))
+    rows = groups.select(key, "no", F.explode(F.concat(F.transform("en", with_copies), left)).alias("q"))
+    return rows.select(key, "no", "q.*")
+
+
+def merge_translations(items: DataFrame) -> DataFrame:
+    """items(match_id, no, p_idx, text, script): the English row of a number takes the other one's text as alt."""
+    none = {"options": "array<string>", "alt": "string", "alt_options": "array<string>", "raw": "string", "stmt": "boolean"}
+    rows = items.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
+    return merge_copies(rows, "match_id", "p_idx").select("match_id", "no", "p_idx", "text", "script", "alt")
+
+
+#: Questions that a key's own document has at least where it is a whole booklet.
+BOOKLET = 8
 
 
 def enrich(keys: DataFrame, questions: DataFrame) -> DataFrame:
-    """Adds the texts of questions parsed from the key's own document, where these are many enough to trust."""
-    n = keys.groupBy("match_id").agg(F.count("*").alias("n_keys"), F.count_if(F.col("text") != "").alias("with_text"))
+    """Adds the texts of questions(match_id, idx, no, text) parsed from the key's own document, where these are many enough to trust."""
+    solid = lambda c: F.length(F.regexp_replace(c, r"\s", ""))
+    n = keys.groupBy("match_id").agg(F.count("*").alias("n_keys"), F.count_if(solid("text") > 20).alias("with_text"))
     m = questions.groupBy("match_id").agg(F.count("*").alias("n_questions"))
-    gate = n.join(m, "match_id").where((F.col("n_questions") >= F.greatest(F.lit(8.0), 0.5 * F.col("n_keys"))) & (F.col("n_questions") > F.col("with_text")))
-    q = questions.join(gate.select("match_id"), "match_id", "left_semi").select("match_id", "no", F.col("text").alias("q_text"))
+    gate = m.join(n, "match_id", "left").fillna(0, ["n_keys", "with_text"])
+    gate = gate.where((F.col("n_questions") >= F.greatest(F.lit(float(BOOKLET)), 0.5 * F.col("n_keys"))) & (F.col("n_questions") > F.col("with_text")))
+    q = questions.where(solid("text") >= 12).join(gate.select("match_id"), "match_id", "left_semi")
+    q = q.groupBy("match_id", "no").agg(F.min_by("text", "idx").alias("q_text"))
     rows = keys.join(q, ["match_id", "no"], "full")
-    rows = rows.where(F.col("answer").isNotNull() | (F.length("q_text") >= 12))
     text = F.when(F.coalesce("text", F.lit("")) == "", F.coalesce("q_text", F.lit(""))).otherwise(F.col("text"))
     return rows.select("match_id", "no", F.coalesce("answer", F.lit("")).alias("answer"), text.alias("text"))

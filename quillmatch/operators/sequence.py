@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as X
+from quillmatch.operators.match import checkpointed
 
 
 def split_blocks(lines: DataFrame) -> DataFrame:
@@ -105,6 +106,89 @@ def pair_lines(left: DataFrame, right: DataFrame, reach: float) -> DataFrame:
     return hit.groupBy("page_id", "ord").agg(F.min("block").alias("block"), F.first("text").alias("text"))
 
 
+NUMBERED = r"^\s*(?:[Qq](?:uestion)?[\s.:#-]*)?([0-9]{1,3})\s*[).:\-॰°]\s*(.*)$"
+
+
+def bind_columns(lines: DataFrame) -> DataFrame:
+    """lines(page_id, side, ord, text, y0, y1), side l or r, to (page_id, text): the column without numbers bound to the other by height.
+
+    A numbered line opens a block of the column that has more of them, the right one on ties. A block takes the lines of the other
+    column whose middle lies within it, nine tenths of a line's height more on either side; both bear its number. The text is null
+    where no line has a number, there are fewer than two blocks, or less than a quarter of the other column's lines are bound.
+    """
+    no = F.regexp_extract("text", NUMBERED, 1)
+    lines = lines.withColumn("no", F.when(no.try_cast("int") > 0, no.try_cast("int")))
+    pages = lines.groupBy("page_id").agg(*[F.count_if((F.col("side") == s) & F.col("no").isNotNull()).alias(s) for s in "lr"], *[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "lr"])
+    pages = pages.withColumn("main", F.when(F.col("r") >= F.col("l"), "r").otherwise("l")).withColumn("others", F.when(F.col("main") == "r", F.col("n_l")).otherwise(F.col("n_r")))
+    rows = lines.join(pages.select("page_id", "main"), "page_id")
+    main = rows.where("side = main")
+    main = main.withColumn("block", F.count("no").over(W.partitionBy("page_id").orderBy("ord")))
+    heights = F.sort_array(F.collect_list(F.greatest(F.col("y1") - F.col("y0"), F.lit(4))))
+    reach = main.groupBy("page_id").agg(heights.alias("h")).select("page_id", (F.get("h", F.floor(F.size("h") / 2).cast("int")) * 0.9).alias("reach"))
+    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias(c)
+    blocks = main.groupBy("page_id", "block").agg(F.min_by("y0", "ord").alias("y0"), F.max_by("y1", "ord").alias("y1"), F.max("no").alias("no"), joined("own"))
+    spans = blocks.join(reach, "page_id").select("page_id", "block", (F.col("y0") - F.col("reach")).alias("y0"), (F.col("y1") + F.col("reach")).alias("y1"))
+    other = rows.where("side <> main").select("page_id", "ord", "text", ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    bound = pair_lines(other, spans, 0.0).groupBy("page_id", "block").agg(joined("theirs"), F.count("*").alias("n"))
+    label = F.coalesce(F.concat(F.col("no").cast("string"), F.lit(". ")), F.lit(""))
+    parts = blocks.join(bound, ["page_id", "block"], "left").withColumn("part", F.concat_ws("\n", F.concat(label, "theirs"), F.concat(label, "own")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "\n")
+    texts = parts.groupBy("page_id").agg(whole.alias("text"), F.count("*").alias("blocks"), F.sum(F.coalesce("n", F.lit(0))).alias("bound"))
+    fits = (F.col("l") + F.col("r") > 0) & (F.col("n_l") > 0) & (F.col("n_r") > 0) & (F.col("blocks") >= 2) & (F.col("bound") >= F.ceil(F.col("others") * 0.25))
+    return pages.join(texts, "page_id", "left").select("page_id", F.when(fits, X.tidy_lines(F.col("text"))).alias("text"))
+
+
+def zip_texts(pages: DataFrame) -> DataFrame:
+    """pages(page_id, left, right) to (page_id, text): the blocks of two columns in turn, under the numbers of the one that has more.
+
+    Where they are not as many, or none is numbered, the columns follow one another.
+    """
+    sides = []
+    for side in ("left", "right"):
+        lines = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.split(F.coalesce(side, F.lit("")), "\n")).alias("ord", "text"))
+        blocks = split_blocks(lines).withColumn("text", X.without_number(F.trim(F.regexp_replace("text", r"\s+", " ")))).where(F.length("text") > 1)
+        sides.append(blocks.groupBy(F.col("doc_id").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("block", "no", "text"))).alias(f"{side}_blocks")))
+    both = pages.join(sides[0], "page_id", "left").join(sides[1], "page_id", "left")
+    counted = lambda c: F.size(F.filter(c, lambda b: b["no"] > 0))
+    a, b = F.col("left_blocks"), F.col("right_blocks")
+    more = counted(a) >= counted(b)
+    mine, theirs = F.when(more, a).otherwise(b), F.when(more, b).otherwise(a)
+
+    def pair(x, i):
+        label = F.when(x["no"] > 0, F.concat(x["no"].cast("string"), F.lit(". "))).otherwise("")
+        return F.concat(label, F.get(theirs, i)["text"], F.lit("\n"), label, x["text"])
+
+    fit = F.coalesce((F.size(a) == F.size(b)) & (F.size(a) > 0) & (counted(a) + counted(b) > 0), F.lit(False))
+    one = F.concat(F.coalesce("left", F.lit("")), F.lit("\n"), F.coalesce("right", F.lit("")))
+    return both.select("page_id", F.when(fit, F.array_join(F.transform(mine, pair), "\n")).otherwise(one).alias("text"))
+
+
+def finished_text(pages: DataFrame, deadline) -> DataFrame:
+    """pages(doc_id, page_no, done_at, text) to (doc_id, text, skipped): the pages read by the deadline, and how many were not."""
+    done = F.coalesce(F.col("done_at") <= deadline, F.lit(False))
+    read = F.sort_array(F.collect_list(F.when(done, F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))))
+    rows = pages.groupBy("doc_id").agg(read.alias("read"), F.count_if(~done).alias("skipped"))
+    return rows.select("doc_id", X.tidy_lines(F.array_join(F.transform("read", lambda x: x["text"]), "\n")).alias("text"), "skipped")
+
+
+def upper_percentiles(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
+    """(key, value): each key's sorted value at floor(n * share), without interpolation.
+
+    Equal values are counted first; the counts are range-sorted, so a key with most of the rows is spread over ranges. A range needs only its
+    own rows and the number of those before it.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_n"))
+    ranged = checkpointed(counts.repartitionByRange(key, value).withColumn("_part", F.spark_partition_id()))
+    parts = ranged.groupBy(key, "_part").agg(F.sum("_n").alias("_in"))
+    order = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    every = F.sum("_in").over(W.partitionBy(key))
+    parts = parts.select(key, "_part", "_in", F.coalesce(F.sum("_in").over(order), F.lit(0)).alias("_before"), F.least(every - 1, F.floor(every * F.lit(share))).alias("_at"))
+    hit = parts.where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_in")))
+    within = F.sum("_n").over(W.partitionBy(key, "_part").orderBy(value))
+    rows = ranged.join(hit, [key, "_part"]).withColumn("_upto", within + F.col("_before"))
+    return rows.where(F.col("_upto") > F.col("_at")).groupBy(key).agg(F.min(value).alias(value))
+
+
 def zip_columns(left: DataFrame, right: DataFrame) -> DataFrame:
     """Blocks of two columns of a page by position, where both have as many and one of them is numbered: (page_id, k, left_text, right_text)."""
     ranked = lambda df, name: df.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("ord")).alias("k"), F.col("text").alias(name), F.col("no").alias(f"{name}_no"))

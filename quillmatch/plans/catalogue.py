@@ -6,8 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as X
-from quillmatch.functions.numbers import upper_percentile
-from quillmatch.operators import analyze, bilingual, match, parse, score, sequence
+from quillmatch.operators import analyze, assemble, bilingual, match, parse, score, sequence
 
 from .derived import benchmark_pair, line_items, match_benchmark, parts, scored_rows, table
 
@@ -61,8 +60,7 @@ def score_by_paper(spark, sf_dir):
 
 @query(ITEMS + " SELECT * FROM rows")
 def result_rows(spark, sf_dir):
-    paper, keys, answers = parts(line_items(spark, sf_dir))
-    return score.result_rows(paper, match.by_offset(paper, keys), keys, answers)
+    return scored_rows(spark, sf_dir)
 
 
 @query(ITEMS + " SELECT p.match_id, p.no AS p_idx, k.no AS k_idx, 0.5::DOUBLE AS confidence, 'offset' AS method FROM items p JOIN items k ON p.match_id = k.match_id AND p.no + 1 = k.no AND k.has_key")
@@ -184,7 +182,21 @@ def content_scores(spark, sf_dir):
     return match.content_scores(match.signatures(paper, "p_idx"), match.signatures(keys, "k_idx")).withColumn("s", F.round("s", 6))
 
 
-@query()
+def _greedy_sql(rounds: int = 12) -> str:
+    """Greedy assignment as rounds of pairs that come first on both sides; what is left after so many rounds would be missing."""
+    first = lambda side: f"row_number() OVER (PARTITION BY {side} ORDER BY s DESC, p_idx, k_idx)"
+    steps = [", r0 AS MATERIALIZED (SELECT p_idx, k_idx, s FROM scored WHERE s >= 0.42)"]
+    for i in range(rounds):
+        steps.append(f"b{i} AS MATERIALIZED (SELECT p_idx, k_idx, s FROM (SELECT *, {first('p_idx')} AS a, {first('k_idx')} AS b FROM r{i}) WHERE a = 1 AND b = 1)")
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT * FROM r{i} WHERE p_idx NOT IN (SELECT p_idx FROM b{i}) AND k_idx NOT IN (SELECT k_idx FROM b{i}))")
+    found = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(rounds))
+    left = lambda name, side: f"{name} AS (SELECT {side}, row_number() OVER (ORDER BY {side}) AS r, count(*) OVER () AS n FROM (SELECT {side} FROM {side[0]}b WHERE {side} NOT IN (SELECT {side} FROM found)))"
+    return PAIR + ", ".join(steps) + f""", found AS MATERIALIZED ({found}), {left("lp", "p_idx")}, {left("lk", "k_idx")}
+SELECT 1 AS match_id, p_idx, k_idx, round(s, 6) AS confidence, 'content' AS method FROM found
+UNION ALL SELECT 1, p_idx, k_idx, 0.3::DOUBLE, 'position' FROM lp JOIN lk USING (r, n) WHERE n <= greatest(3, 0.25 * (SELECT count(*) FROM pb))"""
+
+
+@query(_greedy_sql())
 def greedy_match(spark, sf_dir):
     return match_benchmark(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
@@ -263,14 +275,16 @@ def cluster_axis(spark, sf_dir):
 
 @query("SELECT event_type, list_sort(list(value))[least(count(value), floor(count(value) * 0.75)::BIGINT + 1)] AS p75 FROM events WHERE value IS NOT NULL GROUP BY 1")
 def upper_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value is not null").groupBy("event_type").agg(upper_percentile(F.col("value"), 0.75).alias("p75"))
+    return sequence.upper_percentiles(table(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value", 0.75).withColumnRenamed("value", "p75")
 
 
 @query("""WITH d AS (SELECT source AS match_id, doc_id // 3 AS no, doc_id AS p_idx, text, CASE WHEN lang = 'en' THEN 'en' ELSE 'hi' END AS script FROM documents),
-h AS (SELECT match_id, no, arg_max(text, p_idx) AS alt FROM d WHERE script = 'hi' GROUP BY 1, 2),
-e AS (SELECT *, row_number() OVER (PARTITION BY match_id, no ORDER BY p_idx) AS k FROM d WHERE script = 'en')
-SELECT e.match_id, e.no, p_idx, text, script, CASE WHEN k = 1 THEN alt END AS alt FROM e LEFT JOIN h USING (match_id, no)
-UNION ALL SELECT match_id, no, p_idx, text, script, NULL FROM d WHERE script = 'hi' AND NOT EXISTS (SELECT 1 FROM e WHERE e.match_id = d.match_id AND e.no = d.no)""")
+f AS (SELECT *, min(CASE WHEN script = 'en' THEN p_idx END) OVER (PARTITION BY match_id, no) AS first, count(*) FILTER (script = 'en') OVER (PARTITION BY match_id, no) AS n_en FROM d),
+h AS (SELECT *, row_number() OVER (PARTITION BY match_id, no ORDER BY p_idx) AS k FROM f WHERE script = 'hi' AND (first IS NULL OR p_idx < first)),
+l AS (SELECT match_id, no, 1 AS k, arg_max(text, p_idx) AS alt FROM f WHERE script = 'hi' AND p_idx > first GROUP BY 1, 2),
+e AS (SELECT *, row_number() OVER (PARTITION BY match_id, no ORDER BY p_idx) AS k FROM f WHERE script = 'en')
+SELECT e.match_id, e.no, e.p_idx, e.text, e.script, coalesce(l.alt, h.text) AS alt FROM e LEFT JOIN h USING (match_id, no, k) LEFT JOIN l USING (match_id, no, k)
+UNION ALL SELECT match_id, no, p_idx, text, script, NULL FROM h WHERE k > n_en""")
 def merge_translations(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(
         F.col("source").alias("match_id"), F.floor(F.col("doc_id") / 3).alias("no"), F.col("doc_id").alias("p_idx"), "text", F.when(F.col("lang") == "en", "en").otherwise("hi").alias("script")
@@ -284,7 +298,10 @@ def read_dedup(spark, sf_dir):
     return rows.groupBy("k").agg(F.count("*").alias("requests"), F.min("doc_id").alias("first"))
 
 
-@query()
+@query("""WITH RECURSIVE reads AS (SELECT DISTINCT concat_ws('/', user_id, event_type) AS k, ts FROM events WHERE ts IS NOT NULL),
+made AS (SELECT k, min(ts) AS ts FROM reads GROUP BY k
+  UNION ALL SELECT m.k, min(r.ts) FROM made m JOIN reads r ON r.k = m.k AND r.ts >= m.ts + INTERVAL 12 HOUR GROUP BY m.k, m.ts)
+SELECT k, ts AS "at" FROM made""")
 def cached_reads(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", "event_type").alias("k"), F.col("ts").alias("at"))
     return sequence.read_dedup(rows)
@@ -422,6 +439,107 @@ def stem_match(spark, sf_dir):
 
 HINDI = "नीचे दिए गए कथन पढ़ें"
 
+LETTERS = "'wording ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
+
+
+def _templated(spark, sf_dir, least, most):
+    """(doc_id, n, w): a number from least to most, and the item's letters."""
+    words = F.concat(F.lit("wording "), F.trim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), (F.col("item_id") % (most - least + 1) + least).cast("int").alias("n"), words.alias("w"))
+
+
+@query(f"""WITH d AS (SELECT item_id AS doc_id, (item_id % 400 + 1)::INT AS n, item_id % 8 AS t, trim({LETTERS}) AS w FROM benchmark)
+SELECT doc_id, n AS no, CASE t WHEN 0 THEN 'B' WHEN 1 THEN '' WHEN 3 THEN 'C' WHEN 4 THEN '3' WHEN 5 THEN 'A' WHEN 6 THEN 'D' ELSE 'B' END AS answer,
+  CASE WHEN t = 1 THEN '1A or 2B which vitamin' WHEN t IN (3, 6, 7) THEN w ELSE '' END AS text FROM d WHERE t <> 2
+UNION ALL SELECT doc_id, n + 1, 'B', '' FROM d WHERE t = 5""")
+def key_rules(spark, sf_dir):
+    """Keys whose lines several rules claim."""
+    docs = _templated(spark, sf_dir, 1, 400)
+    n, after = F.col("n").cast("string"), (F.col("n") + 1).cast("string")
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    texts = [
+        line("Q", n, " B"), line(n, ". 1A or 2B which vitamin"), line(n, " - (3)\nQ", n, " - 3"), line(n, ". ", F.col("w"), "\nAnswer: c"), line(n, " - 3"),
+        line(n, "-A ", after, "-B\n", after, "-C"), line(n, ". (D) ", F.col("w")), line("उत्तर - c\n", n, ") ", F.col("w"), "\nAns (b)"),
+    ]
+    return parse.answer_key(docs.select("doc_id", F.get(F.array(*texts), (F.col("doc_id") % 8).cast("int")).alias("text"))).select("doc_id", "no", "answer", "text")
+
+
+@query(f"""WITH d AS (SELECT item_id AS doc_id, (item_id % 300 + 21)::INT AS n, trim({LETTERS}) AS w FROM benchmark)
+SELECT doc_id, 0 AS idx, n AS no, w || ' Consider the following statements: 1. first item of the ' || w || ' 1. again an item of it here (a) Mars and its moons' AS text,
+  '(1) Earth (2) Mars|a) one' AS options, NULL AS alt FROM d
+UNION ALL SELECT doc_id, 1, n + 1, 'The list of ' || w || ' items： 1. the very first item of all', '', NULL FROM d
+UNION ALL SELECT doc_id, 2, n + 2, 'which of these ' || w, '(A) one|(B) two|(C) three', '{HINDI} क्या' FROM d""")
+def paper_rules(spark, sf_dir):
+    """Papers with statements, numbers that jump back, options of every form and a copy in Hindi."""
+    docs = _templated(spark, sf_dir, 21, 320)
+    no = lambda k: (F.col("n") + k).cast("string")
+    text = F.concat(
+        no(0), F.lit(". "), "w", F.lit(" Consider the following statements:\n1. first item of the "), "w", F.lit("\n1. again an item of it here\n(a) Mars and its moons\n(1) Earth (2) Mars\na) one\n"),
+        no(1), F.lit(". The list of "), "w", F.lit(" items：\n1. the very first item of all\n"),
+        no(2), F.lit(". which of these "), "w", F.lit(" (A) one (B) two (C) three\n"), no(2), F.lit(f". {HINDI} क्या\n"),
+    )
+    return parse.questions(docs.select("doc_id", text.alias("text"))).select("doc_id", "idx", "no", "text", F.array_join("options", "|").alias("options"), "alt")
+
+
+#: Items of a paper in the queries over pairs of papers.
+PAPER = 50
+
+
+def _two_papers(spark, sf_dir):
+    """(match_id, text) of the benchmark printed in papers of PAPER items, and of the same items printed in falling order under other numbers."""
+    unique = F.translate(F.md5(F.col("item_id").cast("string")), "0123456789", "ghijklmnop")  # so that a phrase tells one item
+    text = F.concat_ws(" ", *[F.substring(unique, k, 8) for k in (1, 9, 17, 25)], "text")
+    items = table(spark, sf_dir, "benchmark").select(F.floor(F.col("item_id") / PAPER).alias("match_id"), (F.col("item_id") % PAPER + 1).cast("int").alias("no"), text.alias("text"))
+    sizes = items.groupBy("match_id").agg(F.max("no").alias("n"))
+    both = items.join(sizes, "match_id").withColumn("other", F.col("n") + 1 - F.col("no"))
+
+    def printed(no):
+        lines = F.sort_array(F.collect_list(F.struct(F.col(no).alias("no"), F.concat(F.col(no).cast("string"), F.lit(". "), "text").alias("line"))))
+        return both.groupBy("match_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+    return printed("no"), printed("other")
+
+
+def _questions(texts):
+    return parse.questions(texts.withColumnRenamed("match_id", "doc_id")).withColumnRenamed("doc_id", "match_id")
+
+
+@query(f"""WITH i AS (SELECT item_id // {PAPER} AS match_id, (item_id % {PAPER} + 1)::INT AS no, (count(*) OVER (PARTITION BY item_id // {PAPER}) - item_id % {PAPER})::INT AS key_no FROM benchmark)
+SELECT * FROM i WHERE no % 10 <> 8 OR key_no % 25 <> 7""")
+def number_map(spark, sf_dir):
+    """Numbers of one paper to those of another, where each parse has lost some questions that the other text still holds."""
+    texts, key_texts = _two_papers(spark, sf_dir)
+    paper = _questions(texts).where("no % 10 <> 8").withColumnRenamed("idx", "p_idx")
+    keys = _questions(key_texts).where("no % 25 <> 7").withColumnRenamed("idx", "k_idx")
+    return assemble.number_map(paper, keys, texts, key_texts).select("match_id", "no", "key_no")
+
+
+@query(f"""WITH i AS (SELECT item_id // {PAPER} AS match_id, (item_id % {PAPER} + 1)::INT AS no, count(*) OVER (PARTITION BY item_id // {PAPER}) AS n FROM benchmark)
+SELECT match_id, no, (n - no)::INT AS k_idx, 0.5::DOUBLE AS confidence, 'rev' AS method FROM i WHERE no % 2 = 0""")
+def reverse_recovery(spark, sf_dir):
+    """Even numbers of a paper, of which its parse has only the odd ones, found by the other paper's wordings."""
+    texts, key_texts = _two_papers(spark, sf_dir)
+    paper, keys = _questions(texts).where("no % 2 = 1"), _questions(key_texts)
+    found = parse.by_stem(keys.select("match_id", F.col("idx").alias("p_idx"), "text"), texts).withColumnRenamed("p_idx", "k_idx")
+    size = keys.groupBy("match_id").agg(F.count("*").alias("n"))
+    assigned = paper.select("match_id", "no").join(size, "match_id").select("match_id", (F.col("n") - F.col("no")).cast("int").alias("k_idx"))
+    return match.recovered(paper, assigned, found)
+
+
+@query(f"""WITH i AS (SELECT item_id // {PAPER} AS match_id, (item_id % {PAPER} + 1)::INT AS no, count(*) OVER (PARTITION BY item_id // {PAPER}) AS n FROM benchmark)
+SELECT match_id, no - 1 AS p_idx, no, CASE WHEN match_id % 2 = 0 THEN n + 1 - no ELSE no END::INT AS key_no, chr((65 + CASE WHEN match_id % 2 = 0 THEN n + 1 - no ELSE no END % 4)::INT) AS correct,
+  chr((65 + no % 3)::INT) AS mine, CASE WHEN CASE WHEN match_id % 2 = 0 THEN n + 1 - no ELSE no END % 4 = no % 3 THEN 'correct' ELSE 'wrong' END AS state FROM i""")
+def text_results(spark, sf_dir):
+    """Two texts of each match to its result: every second key has the wordings, under other numbers, the rest numbers only."""
+    texts, key_texts = _two_papers(spark, sf_dir)
+    letters = lambda c, k: F.char(65 + F.col(c) % k)
+    numbers = _questions(key_texts).select("match_id", "no", "text")
+    line = F.when(F.col("match_id") % 2 == 0, F.concat(F.col("no").cast("string"), F.lit(". "), "text", F.lit("\nAnswer: "), letters("no", 4)))
+    line = F.coalesce(line, F.concat(F.col("no").cast("string"), F.lit(" - "), letters("no", 4)))
+    keys = numbers.groupBy("match_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    mine = numbers.select("match_id", "no", letters("no", 3).alias("mine"))
+    return assemble.results(texts, keys, mine).select("match_id", "p_idx", "no", "key_no", "correct", "mine", "state")
+
 
 @query(f"""WITH l AS (SELECT item_id % 4 AS doc_id, item_id AS i, trim(regexp_replace(text, '[0-9\\s]+', ' ', 'g')) AS t FROM benchmark)
 SELECT doc_id, string_agg('{HINDI}', chr(10) ORDER BY i) || chr(10) || string_agg(t, chr(10) ORDER BY i) AS text FROM l GROUP BY doc_id""")

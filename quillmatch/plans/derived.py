@@ -33,18 +33,9 @@ def parts(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of the identity match.
-
-    Paper, key and answers all come from one row here, so the join by number is on rows that are together already.
-    """
-    items = line_items(spark, sf_dir)
-    matched = F.col("has_key")
-    answer = F.when(matched, F.col("key"))
-    return items.select(
-        "match_id", "p_idx", "no", F.when(matched, F.col("no")).alias("key_no"), score.plain(answer).alias("correct"), score.plain(F.col("mine")).alias("mine"),
-        score.state(matched, answer, F.col("mine")).alias("state"), F.when(matched, 1.0).otherwise(0.0).alias("confidence"),
-        F.when(matched, "same-number").otherwise("").alias("method"),
-    )
+    """Result rows of the match by number."""
+    paper, keys, answers = parts(line_items(spark, sf_dir))
+    return score.result_rows(paper, match.by_offset(paper, keys), keys, answers)
 
 
 def benchmark_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

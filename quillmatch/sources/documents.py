@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,31 +33,44 @@ def needs_pictures(text, size, forced=False):
     return F.lit(forced) | (solid < F.greatest(F.lit(150.0), size / 800)) | broken | damaged
 
 
-def carve(pdf: bytes, least: int = 40_000) -> list[bytes]:
-    """The JPEG streams of a PDF whose pages are pictures, in order."""
-    out, at = [], 0
-    while (at := pdf.find(b"/DCTDecode", at)) >= 0:
-        start = pdf.find(b"stream", at)
-        end = pdf.find(b"endstream", start)
-        if start < 0 or end < 0:
-            break
-        body = pdf[start + 6 : end].lstrip(b"\r\n")
-        stop = body.rfind(b"\xff\xd9")
-        if body[:2] == b"\xff\xd8" and stop > 0 and stop + 2 > least:
-            out.append(body[: stop + 2])
-        at = end
-    return out
+PICTURE = re.compile(rb"/Filter\s*/DCTDecode")
+#: Bytes that a page's picture exceeds; logos and thumbnails do not.
+LEAST_PICTURE = 40_000
 
 
-def page_pictures(files: DataFrame, least: int = 40_000) -> DataFrame:
-    """files(doc_id, content) to (doc_id, page_no, bytes)."""
+def carve(pdf: bytes, expected: int | None = None) -> list[bytes] | None:
+    """The JPEG streams of a PDF whose pages are pictures, in order; null unless they are as many as expected and all as large as pages."""
+    out: list[bytes] = []
+    for mark in PICTURE.finditer(pdf):
+        head = re.compile(rb"stream\r?\n?").search(pdf, mark.start())
+        stop = pdf.find(b"endstream", head.end()) if head else -1
+        if stop < 0:
+            continue
+        body = pdf[head.end() : stop]
+        last = body.rfind(b"\xd9")
+        if body.startswith(b"\xff\xd8") and last > 0 and body[last - 1] == 0xFF:
+            out.append(body[: last + 1])
+    whole = bool(out) and (not expected or len(out) == expected) and all(len(x) > LEAST_PICTURE for x in out)
+    return out if whole else None
+
+
+def page_pictures(files: DataFrame) -> DataFrame:
+    """files(doc_id, content), and n_pages where it is known, to (doc_id, page_no, bytes): all pages of a file or none."""
+    files = files.select("doc_id", "content", F.col("n_pages") if "n_pages" in files.columns else F.lit(None).cast("int").alias("n_pages"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-                yield pd.DataFrame([(doc, i + 1, b) for i, b in enumerate(carve(bytes(content), least))], columns=["doc_id", "page_no", "bytes"])
+            for doc, content, n in zip(pdf["doc_id"], pdf["content"], pdf["n_pages"], strict=True):
+                pages = carve(bytes(content), None if pd.isna(n) else int(n)) or []
+                yield pd.DataFrame([(doc, i + 1, b) for i, b in enumerate(pages)], columns=["doc_id", "page_no", "bytes"])
+
+    return files.mapInPandas(run, "doc_id string, page_no int, bytes binary")
+
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, page_no int, bytes binary")
+def page_counts(files: DataFrame) -> DataFrame:
+    """files(doc_id, content) to (doc_id, n_pages), 0 where the pages are no pictures."""
+    counts = page_pictures(files).groupBy("doc_id").agg(F.count("*").cast("int").alias("n_pages"))
+    return files.select("doc_id").distinct().join(counts, "doc_id", "left").fillna(0, ["n_pages"])
 
 
 def picture_pdf(pages: list[tuple[int, int, bytes]]) -> bytes:
@@ -97,5 +111,9 @@ def save_result(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
-def load_result(spark: SparkSession, path: str) -> DataFrame:
+def load_result(spark: SparkSession, path: str, sample: DataFrame | None = None) -> DataFrame:
+    """A saved result, or the sample where none has been saved."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if sample is not None and not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return sample
     return spark.read.parquet(path)

@@ -35,7 +35,29 @@ def test_gutter_and_enhance():
 def test_pdf_round_trip(spark):
     jpeg = b"\xff\xd8" + bytes(50_000) + b"\xff\xd9"
     pdf = documents.picture_pdf([(600, 800, jpeg), (600, 800, jpeg)])
-    assert documents.carve(pdf) == [jpeg, jpeg]
+    assert documents.carve(pdf) == documents.carve(pdf, 2) == [jpeg, jpeg]
+    # all pages or none: another count, or one stream that is no page's
+    assert documents.carve(pdf, 3) is None and documents.carve(b"") is None
+    assert documents.carve(documents.picture_pdf([(600, 800, jpeg), (9, 9, jpeg[:100] + jpeg[-2:])])) is None
     pages = spark.createDataFrame([("a", 2, 6, 8, jpeg), ("a", 1, 6, 8, jpeg)], "doc_id string, page_no int, w int, h int, bytes binary")
     back = documents.page_pictures(documents.picture_pdfs(pages).withColumnRenamed("pdf", "content")).collect()
     assert [(r.page_no, bytes(r.bytes)) for r in back] == [(1, jpeg), (2, jpeg)]
+
+
+def test_page_counts_and_saved_results(spark, tmp_path):
+    jpeg = b"\xff\xd8" + bytes(50_000) + b"\xff\xd9"
+    files = spark.createDataFrame([("a", documents.picture_pdf([(1, 1, jpeg)] * 3)), ("b", b"no pictures")], "doc_id string, content binary")
+    assert {r.doc_id: r.n_pages for r in documents.page_counts(files).collect()} == {"a": 3, "b": 0}
+    known = spark.createDataFrame([("a", documents.picture_pdf([(1, 1, jpeg)] * 3), 4)], "doc_id string, content binary, n_pages int")
+    assert documents.page_pictures(known).count() == 0
+    sample = spark.createDataFrame([(0, "sample")], "no int, state string")
+    assert documents.load_result(spark, str(tmp_path / "none"), sample).collect() == sample.collect()
+    documents.save_result(sample.where("no > 0"), str(tmp_path / "saved"))
+    assert documents.load_result(spark, str(tmp_path / "saved"), sample).count() == 0
+
+
+def test_files_in(spark, tmp_path):
+    for name, data in (("a.txt", b"one\ntwo"), ("b.PDF", b"%PDF"), ("c.jpg", b"x")):
+        (tmp_path / name).write_bytes(data)
+    assert {(r.doc_id.rsplit("/")[-1], r.kind, r.size) for r in documents.read_files(spark, str(tmp_path)).collect()} == {("a.txt", "text", 7), ("b.PDF", "pdf", 4), ("c.jpg", "image", 1)}
+    assert [r.text for r in documents.read_texts(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo"]
