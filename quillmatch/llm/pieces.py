@@ -119,6 +119,20 @@ def tokenizer(model: Model):
     return out
 
 
+class _Grown:
+    """An array that grows at its end without being copied each time."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, more) -> None:
+        to = self.size + len(more)
+        if to > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(to, self.data.dtype)])
+        self.data[self.size : to] = more
+        self.size = to
+
+
 class Coder:
     """Encodes and decodes lists of texts; made once in each worker.
 
@@ -126,8 +140,8 @@ class Coder:
     once, and remembered, for the ids of a text are those of its parts.
     """
 
-    #: Parts remembered at most; then all are forgotten.
-    PARTS = 600_000
+    #: Bytes of remembered parts and ids, about, beyond which all are forgotten before the next slice of texts.
+    BYTES = 128 << 20
 
     def __init__(self, data: bytes, threads: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -142,7 +156,9 @@ class Coder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.pool, self.ends, self.fine = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.taken = 0
+        self.pool, self.ends, self.fine = _Grown(np.int32), _Grown(np.int64), _Grown(bool)
+        self.ends.extend([0])
 
     def normalized(self, text: str) -> str:
         if not self.plain:
@@ -155,14 +171,15 @@ class Coder:
         ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
-        self.fine = np.concatenate([self.fine, np.array([a.replace(MARK, " ") == b for a, b in zip(new, back, strict=True)], bool)])
+        self.ends.extend(self.pool.size + np.cumsum(size))
+        self.pool.extend(np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
+        self.fine.extend([a.replace(MARK, " ") == b for a, b in zip(new, back, strict=True)])
+        self.taken += 4 * int(size.sum()) + sum(128 + 2 * len(x) for x in new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def encode_and_back(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after the other, each text's number of ids, and whether they decode to the text."""
-        if len(self.known) > self.PARTS:
+        if self.taken > self.BYTES:
             self._forget()
         normal = [self.normalized(x) for x in texts]
         parts = [self.part.findall(x) for x in normal]
@@ -170,11 +187,11 @@ class Coder:
             self._learn(new)
         count = np.fromiter(map(len, parts), np.int64, len(parts))
         which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
-        begin, size = self.ends[which], self.ends[which + 1] - self.ends[which]
-        ids = self.pool[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        begin, size = self.ends.data[which], self.ends.data[which + 1] - self.ends.data[which]
+        ids = self.pool.data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         text = np.repeat(np.arange(len(texts)), count)
         total = np.bincount(text, size, len(texts)).astype(np.int64)
-        wrong = np.bincount(text, ~self.fine[which], len(texts)) > 0
+        wrong = np.bincount(text, ~self.fine.data[which], len(texts)) > 0
         same = [self.cut(x.replace(MARK, " ")) == y for x, y in zip(normal, texts, strict=True)]
         return ids, total, ~wrong & np.array(same, bool)
 
