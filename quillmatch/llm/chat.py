@@ -5,8 +5,8 @@ users with a name. Only what the speaker says is to be learnt: its text and end
 
 Defined results: turns go by (turn, role, text), nulls first; a null text is empty, a null role is `unknown`; rows repeated in
 full are turns of their own; `system` is no participant and keeps its role; a conversation without participants gives no
-row; a null conv_id is a conversation too. Marks inside a text or name are broken by a space, so that no turn can forge
-another. Extra columns are not read; an empty table gives no rows. A conversation is one record, and so has to fit one row.
+row; a null conv_id is a conversation too. Marks inside a text or name are broken by a space, and line breaks in a name are
+spaces, so that no turn can forge another. Extra columns are not read; an empty table gives no rows. A conversation is one record, and so has to fit one row.
 """
 
 from __future__ import annotations
@@ -43,7 +43,8 @@ def render(turns: list[tuple[str, str]], speaker: str) -> tuple[str, list[tuple[
 def perspectives(turns: DataFrame) -> DataFrame:
     """turns(conv_id, turn, role, text) to (conv_id, speaker, n_turns, text, spans), a row for each participant."""
     safe = lambda c, null: F.replace(F.coalesce(c, F.lit(null)), F.lit("<|"), F.lit("< |"))
-    rows = turns.select("conv_id", F.struct("turn", safe("role", "unknown").alias("role"), safe("text", "").alias("text")).alias("t"))
+    name = F.translate(safe("role", "unknown"), "\n\r\u000b\u000c\u0085\u2028\u2029", " " * 7)
+    rows = turns.select("conv_id", F.struct("turn", name.alias("role"), safe("text", "").alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     kind = turns.schema["conv_id"].dataType.simpleString()
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -79,9 +80,9 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH said AS (
-  SELECT conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, replace(coalesce(role, 'unknown'), '<|', '< |'), replace(coalesce(text, ''), '<|', '< |')) AS k
-  FROM conversations),
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM (
+    SELECT conv_id, turn, translate(replace(coalesce(role, 'unknown'), '<|', '< |'), chr(10) || chr(13) || chr(11) || chr(12) || chr(133) || chr(8232) || chr(8233), '       ') AS role,
+           replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations)),
 speakers AS (SELECT DISTINCT conv_id, role AS speaker FROM said WHERE role <> 'system'),
 parts AS (
   SELECT s.conv_id, speaker, k, role = speaker AS own, text || '<|im_end|>' AS body,
