@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
 
 #: White space of the word rules: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -56,17 +55,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return _written(df, label)[0]
 
 
-def width(kind: DataType) -> int:
-    """Bytes of a value of numbers as Spark keeps it in a row, about."""
-    return 16 + sum(width(f.dataType) for f in kind) if isinstance(kind, StructType) else 8
-
-
-def small_or_shuffled(df: DataFrame, lists: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcasts a written table of numbers, and of lists of such, that takes at most limit bytes; a larger one joins by a shuffle."""
-    facts = df.agg(F.count("*"), F.sum(F.size(lists)) if lists else F.lit(0)).first()
-    member = df.schema[lists].dataType if lists else ArrayType(df.schema)
-    taken = facts[0] * (24 + width(df.schema)) + (facts[1] or 0) * width(member.elementType)
-    return F.broadcast(df) if taken <= limit else df.hint("shuffle_merge")
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcasts a written table of numbers that takes at most limit bytes in rows, about; a larger one joins by a shuffle."""
+    return F.broadcast(df) if df.count() * (24 + 8 * len(df.columns)) <= limit else df.hint("shuffle_merge")
 
 
 def set_aside(docs: DataFrame, *used: str) -> DataFrame:

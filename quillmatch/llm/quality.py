@@ -2,9 +2,11 @@
 
 Base counts per text; then the mean, over a text's words and word pairs, of log p_target(bucket) - log p_raw(bucket).
 p_raw are the bucket shares over every document. p_target are those over every trusted document.
-A document is kept when its base rules hold and its mean ratio reaches a fixed threshold: no random draw.
+A document is kept when its base rules hold and its mean ratio reaches what all but SHARE of the trusted documents reach
+that have enough words: one number for a corpus, no random draw.
 
-Null or empty text: no words, all counts 0, base_failed, not kept, score 0. Repeated rows each get a row. Columns
+Null or empty text: no words, all counts 0, base_failed, not kept, score 0. Without trusted documents every score is 0, and all
+that pass the base rules are kept. Repeated rows each get a row. Columns
 of the input other than doc_id and text are not read, and the pipeline's stage hands them on, whatever their names; score()
 itself adds its own columns, in place of any that bear their names. Empty tables give no rows.
 """
@@ -12,14 +14,17 @@ itself adds its own columns, in place of any that bear their names. Empty tables
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import SPACE, WORD, put_back, set_aside, small_or_shuffled, table, written
 
 BUCKETS = 1 << 14
-#: Nats per n-gram below which a text is held to be unlike the target.
-THRESHOLD = -0.12
+#: Share of the trusted documents that the threshold leaves below it, and the step of scores in which it is told.
+SHARE, STEP = 0.001, 0.001
 WINDOW = 5
+#: Words that a text has at least.
+WORDS = 10
 
 
 def words_of(text: Column) -> Column:
@@ -85,14 +90,11 @@ def bucket_counts(docs: DataFrame, name: str) -> DataFrame:
     return grams.groupBy(bucket(F.col("gram")).alias("bucket")).agg(F.count("*").alias(name))
 
 
-def ratio_table(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+def ratio_table(docs: DataFrame, trusted_docs: DataFrame) -> DataFrame:
     """One row, one column: the array of BUCKETS log ratios, add-one smoothed. Its size does not grow with docs."""
-    spark = docs.sparkSession
-    ids = written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
-    target = bucket_counts(docs.join(small_or_shuffled(ids), "doc_id", "left_semi"), "t")
-    every = bucket_counts(docs, "r")
+    target, every = bucket_counts(trusted_docs, "t"), bucket_counts(docs, "r")
     both = (
-        spark.range(BUCKETS)
+        docs.sparkSession.range(BUCKETS)
         .select(F.col("id").cast("int").alias("bucket"))
         .join(every, "bucket", "left")
         .join(target, "bucket", "left")
@@ -107,18 +109,38 @@ def ratio_table(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     )
 
 
-def score(docs: DataFrame, trusted_ids: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Adds the base counts, base_failed, score and kept to docs(doc_id, text, ...)."""
-    ratios = ratio_table(docs.select("doc_id", "text"), trusted_ids).scalar()
-    df = base_counts(docs)
-    df = df.withColumn(
-        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    )
+def mean_ratio(df: DataFrame, ratios: Column) -> DataFrame:
+    """Adds score to a frame with n_words and _grams, which goes."""
     # the scalar subquery is a column of its own, for lambdas may not hold one; the optimiser folds it into its one use
     df = df.withColumn("_ratios", ratios)
     df = df.withColumn("_total", F.aggregate("_grams", F.lit(0.0), lambda a, x: a + F.get("_ratios", bucket(x)))).drop("_ratios")
-    df = df.withColumn("score", F.when(F.col("n_words") > 0, F.col("_total") / (2 * F.col("n_words"))).otherwise(F.lit(0.0)))
-    return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_grams", "_total")
+    return df.withColumn("score", F.when(F.col("n_words") > 0, F.col("_total") / (2 * F.col("n_words"))).otherwise(F.lit(0.0))).drop("_grams", "_total")
+
+
+def cutoff(trusted_docs: DataFrame, ratios: Column, share: float = SHARE) -> float | None:
+    """The score, down to the STEP, of the trusted document at floor(n * share) from below; null if there is none with enough words."""
+    hashes = trusted_docs.select(hashes_of(words_of(F.col("text"))).alias("h")).withColumn("n_words", F.size("h")).where(F.col("n_words") >= WORDS)
+    scores = mean_ratio(hashes.select("n_words", F.concat("h", bigrams_of(F.col("h"))).alias("_grams")), ratios)
+    counts = scores.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))  # scores span few steps
+    upto, every = F.sum("n").over(W.orderBy("step")), F.sum("n").over(W.partitionBy())
+    found = counts.select("step", upto.alias("upto"), every.alias("every")).where(F.col("upto") > F.floor(F.col("every") * share))
+    least = found.agg(F.min("step")).first()[0]
+    return None if least is None else least * STEP
+
+
+def score(docs: DataFrame, trusted_ids: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Adds the base counts, base_failed, score and kept to docs(doc_id, text, ...); without a threshold it is told by the trusted documents."""
+    ids = written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
+    texts = docs.select("doc_id", "text")
+    trusted_docs = texts.join(small_or_shuffled(ids), "doc_id", "left_semi")
+    ratios = written(ratio_table(texts, trusted_docs), "ratios").scalar()
+    if threshold is None:
+        threshold = cutoff(trusted_docs, ratios)
+    df = base_counts(docs)
+    df = df.withColumn("base_failed", (F.col("n_words") < WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    df = mean_ratio(df, ratios)
+    enough = F.lit(True) if threshold is None else F.col("score") >= threshold
+    return df.withColumn("kept", ~F.col("base_failed") & enough)
 
 
 def trusted(labels: DataFrame) -> DataFrame:

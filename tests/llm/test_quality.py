@@ -51,12 +51,16 @@ def test_counts_and_scores_follow_the_definition(spark):
     labels = spark.createDataFrame([(i,) for i in trusted] + [(None,), (1,)], "doc_id long")
     found = {r.tag: r for r in quality.score(docs, labels).collect()}
     assert len(found) == len(rows)
-    for row, score in zip(rows, expected_scores(rows, trusted), strict=True):
+    scores = expected_scores(rows, trusted)
+    # all but a thousandth of the trusted documents with ten words or more reach the threshold: here the least of them
+    least = min(s for r, s in zip(rows, scores, strict=True) if r[0] in trusted and len(brute.WORD.findall(r[1])) >= 10)
+    threshold = math.floor(least / quality.STEP) * quality.STEP
+    for row, score in zip(rows, scores, strict=True):
         got = found[row[2]]
         counts = brute.quality_counts(row[1])
         assert (got.n_words, got.word_chars, got.n_symbols, got.n_dup_lines, got.n_repeat_words) == counts
         failed = counts[0] < 10 or 100 * counts[4] > 20 * counts[0]
-        assert got.base_failed == failed and got.kept == (not failed and got.score >= quality.THRESHOLD)
+        assert got.base_failed == failed and got.kept == (not failed and got.score >= threshold)
         assert got.score == pytest.approx(score, abs=1e-9)
 
 
@@ -76,7 +80,21 @@ def test_no_rows_and_no_labels(spark):
     docs = spark.createDataFrame(fixture(), SCHEMA).select("doc_id", "text")
     none = spark.createDataFrame([], "doc_id long")
     assert quality.score(docs.limit(0), none).count() == 0
-    assert {r.score for r in quality.score(docs, none).collect()} == {0.0}
+    unlabelled = quality.score(docs, none).collect()
+    assert {r.score for r in unlabelled} == {0.0} and all(r.kept == (not r.base_failed) for r in unlabelled)
+
+
+def test_cutoff_leaves_a_share_below(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)] if i % 50 else [f"z{k}" for k in range(30)], k=rng.randint(10, 40)))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ratios = common.written(quality.ratio_table(docs, docs), "ratios").scalar()
+    assert quality.cutoff(docs, ratios) == 0.0  # what equals the corpus has no ratio
+    half = docs.where("doc_id < 200")
+    ratios = common.written(quality.ratio_table(docs, half), "ratios").scalar()
+    scores = sorted(expected_scores(rows, set(range(200)))[:200])
+    for share in (0.0, 0.1, 0.5):
+        assert quality.cutoff(half, ratios, share) == pytest.approx(math.floor(scores[int(200 * share)] / quality.STEP) * quality.STEP)
 
 
 @pytest.mark.parametrize("limit", [10**6, 0])
