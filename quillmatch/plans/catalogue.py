@@ -182,26 +182,43 @@ def content_scores(spark, sf_dir):
     return match.content_scores(match.signatures(paper, "p_idx"), match.signatures(keys, "k_idx")).withColumn("s", F.round("s", 6))
 
 
-def _greedy_sql(rounds: int = 12) -> str:
-    """Greedy assignment as rounds of pairs that come first on both sides; what is left after so many rounds would be missing."""
+def _assigned_sql(name: str, threshold: float, rounds: int = 12) -> str:
+    """CTEs up to `name`: greedy assignment as rounds of pairs that come first on both sides, then what is left by position.
+
+    What would need more rounds is missing there.
+    """
     first = lambda side: f"row_number() OVER (PARTITION BY {side} ORDER BY s DESC, p_idx, k_idx)"
-    steps = [", r0 AS MATERIALIZED (SELECT p_idx, k_idx, s FROM scored WHERE s >= 0.42)"]
+    r, b = (lambda i: f"{name}_r{i}"), (lambda i: f"{name}_b{i}")
+    steps = [f"{r(0)} AS MATERIALIZED (SELECT p_idx, k_idx, s FROM scored WHERE s >= {threshold})"]
     for i in range(rounds):
-        steps.append(f"b{i} AS MATERIALIZED (SELECT p_idx, k_idx, s FROM (SELECT *, {first('p_idx')} AS a, {first('k_idx')} AS b FROM r{i}) WHERE a = 1 AND b = 1)")
-        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT * FROM r{i} WHERE p_idx NOT IN (SELECT p_idx FROM b{i}) AND k_idx NOT IN (SELECT k_idx FROM b{i}))")
-    found = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(rounds))
-    left = lambda name, side: f"{name} AS (SELECT {side}, row_number() OVER (ORDER BY {side}) AS r, count(*) OVER () AS n FROM (SELECT {side} FROM {side[0]}b WHERE {side} NOT IN (SELECT {side} FROM found)))"
-    return PAIR + ", ".join(steps) + f""", found AS MATERIALIZED ({found}), {left("lp", "p_idx")}, {left("lk", "k_idx")}
-SELECT 1 AS match_id, p_idx, k_idx, round(s, 6) AS confidence, 'content' AS method FROM found
-UNION ALL SELECT 1, p_idx, k_idx, 0.3::DOUBLE, 'position' FROM lp JOIN lk USING (r, n) WHERE n <= greatest(3, 0.25 * (SELECT count(*) FROM pb))"""
-
-
-@query(_greedy_sql())
+        steps.append(f"{b(i)} AS MATERIALIZED (SELECT p_idx, k_idx, s FROM (SELECT *, {first('p_idx')} AS a, {first('k_idx')} AS b FROM {r(i)}) WHERE a = 1 AND b = 1)")
+        steps.append(f"{r(i + 1)} AS MATERIALIZED (SELECT * FROM {r(i)} WHERE p_idx NOT IN (SELECT p_idx FROM {b(i)}) AND k_idx NOT IN (SELECT k_idx FROM {b(i)}))")
+    steps.append(f"{name}_found AS MATERIALIZED ({' UNION ALL '.join(f'SELECT * FROM {b(i)}' for i in range(rounds))})")
+    for side in ("p", "k"):
+        left = f"SELECT {side}_idx FROM {side}b WHERE {side}_idx NOT IN (SELECT {side}_idx FROM {name}_found)"
+        steps.append(f"{name}_{side} AS (SELECT {side}_idx, row_number() OVER (ORDER BY {side}_idx) AS r, count(*) OVER () AS n FROM ({left}))")
+    steps.append(f"""{name} AS MATERIALIZED (SELECT 1 AS match_id, p_idx, k_idx, round(s, 6) AS confidence, 'content' AS method FROM {name}_found
+UNION ALL SELECT 1, p_idx, k_idx, 0.3::DOUBLE, 'position' FROM {name}_p JOIN {name}_k USING (r, n) WHERE n <= greatest(3, 0.25 * (SELECT count(*) FROM pb)))""")
+    return ", ".join(steps)
+
+
+def _ladder_sql() -> str:
+    """The rungs one after the other; here pairs without a common token are scored as well, for the lowest rung can take them."""
+    every = PAIR.replace("0.7 * c /", "0.7 * coalesce(c, 0) /").replace("FROM shared JOIN pb p USING (p_idx) JOIN kb k USING (k_idx))", "FROM pb p CROSS JOIN kb k LEFT JOIN shared USING (p_idx, k_idx))")
+    every = every.replace("least(p.tok, k.tok)", "greatest(least(p.tok, k.tok), 1)")
+    rungs = ", ".join(_assigned_sql(f"rung{i}", t) for i, t in enumerate(match.LADDER))
+    rows = " UNION ALL ".join(f"SELECT {i} AS rung, * FROM rung{i}" for i in range(len(match.LADDER)))
+    return f"""{every}, {rungs}, runs AS ({rows}), counts AS (SELECT rung, count(*) FILTER (method = 'content') AS n FROM runs GROUP BY rung),
+best AS (SELECT coalesce(min(CASE WHEN n >= {match.COVERED} * (SELECT count(*) FROM pb) THEN rung END), arg_min(rung, (-n, rung))) AS rung FROM counts)
+SELECT match_id, p_idx, k_idx, confidence, method FROM runs WHERE rung = (SELECT rung FROM best)"""
+
+
+@query(PAIR + ", " + _assigned_sql("assigned", match.THRESHOLD) + " SELECT * FROM assigned")
 def greedy_match(spark, sf_dir):
     return match_benchmark(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(_ladder_sql())
 def threshold_ladder(spark, sf_dir):
     return match.ladder(*benchmark_pair(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
 
