@@ -5,7 +5,7 @@ shingles and keeps their text order; equal picks in equal order make two texts c
 aligned similarity, common / (all - common) with `common` the longest common subsequence of the two shingle sequences,
 is SIMILARITY or more. Classes are the connected components of the links; equal word sequences are one text from the start.
 
-Buckets of candidates travel with their shingles. A bucket beyond BLOCK texts is cut into blocks, and each pair of blocks
+The members of a bucket travel with their texts, which are no longer than their shingles' hashes. A bucket beyond BLOCK texts is cut into blocks, and each pair of blocks
 is a task of its own, so that no task holds an unbounded group. Inside a task a pair of texts that is connected already
 is not aligned again; only links that join two classes leave the task, fewer than it has texts.
 

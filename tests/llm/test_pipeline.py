@@ -10,7 +10,7 @@ from sentencepiece import SentencePieceProcessor
 import __spark_entry__ as entry
 import corpus_pipeline
 from quillmatch.llm import pieces, queries
-from quillmatch.llm.common import components
+from quillmatch.llm.common import components, shared_dir
 
 DATA = "/root/testdata/sf0.001"
 need_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
@@ -78,3 +78,47 @@ def test_components(spark):
     root = brute.groups(500, pairs)
     assert found == {x: root[x] for p in pairs for x in p}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pipeline_with_nulls_clashing_columns_and_no_rows(spark, tmp_path):
+    """Columns named like those of the operators go along; null ids, texts and sources, repeated rows and empty texts are borne."""
+    words = [f"word{k}" for k in range(60)]
+    text = lambda k: " ".join(words[(k * 7 + i * (k % 5 + 1)) % 60] for i in range(30 + k % 9)) + f"\nanother line of document number {k}"
+    rows = [(k, text(k), "en", f"s{k % 3}", 1, "a", 1.0, True, [1], "r") for k in range(40)]
+    rows += [(None, text(90), None, None, None, None, None, None, None, None), (41, None, "en", "s1", 0, "b", 0.0, False, [2], "r"), (42, "", "en", None, 0, "b", 0.0, False, [2], "r"), rows[3], rows[3]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, score double, kept boolean, ids array<int>, _rest string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "some/documents.parquet"))
+    spark.createDataFrame([(k, 1, 0) for k in range(0, 40, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "some/labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "some/documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "some"))
+        assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+    found = corpus_pipeline.run(spark, str(tmp_path / "some"))
+    assert found.columns[:3] == ["doc_id", "lang", "source"] and found.where("not parity or not round_trip").count() == 0
+    assert {r.doc_id for r in found.select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()}
+    assert found.where("doc_id in (41, 42)").count() == 0 < found.count()
+    none = spark.read.parquet(str(tmp_path / "some/documents.parquet")).limit(0)
+    none.write.parquet(str(tmp_path / "none/documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    assert all(entry.queries()[q](spark, str(tmp_path / "none")).count() == 0 for q in ("op1_toxicity", "op2_pieces", "op3_nearcopies", "op5_repeats", "op6_mixing", "op7_quality", "op10_lines"))
+
+
+def test_a_cluster_has_to_name_a_shared_folder():
+    class Named:
+        master = "spark://somewhere:7077"
+        sparkContext = property(lambda self: self)
+        conf = property(lambda self: self)
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def get(self, name, default):
+            return self.folder
+
+        def getCheckpointDir(self):
+            return None
+
+    assert shared_dir(Named("file:///shared/scratch/")) == "file:///shared/scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Named(None))
