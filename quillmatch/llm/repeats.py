@@ -101,8 +101,8 @@ def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(key), pa.array(content), pa.array(alone)], names)
 
 
-def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first `depth` bytes or more, and each one's rank (equal where these bytes are).
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """All suffixes in order, to their ends: the bound on common prefixes does not hold where ties are left.
 
     Each round orders only the groups that are still tied, by the rank of what stands `h` bytes further on, and doubles h.
     """
@@ -111,8 +111,9 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     head = np.zeros(n, np.uint64)
     for k in range(8):
         head = head << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(head, kind="stable")
-    rank = np.zeros(n + depth * 2, np.int64)
+    left = np.minimum(np.arange(n, 0, -1), 8)  # a text may hold the byte that fills up the last heads; what ends first comes first
+    order = np.lexsort((left, head))
+    rank = np.zeros(n + 1, np.int64)  # the last is that of the empty suffix, before all others
 
     def number(at: np.ndarray, new: np.ndarray) -> None:
         """Ranks of the suffixes order[at], where new marks the first of each group."""
@@ -120,14 +121,14 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
     every = np.arange(n)
     new = np.ones(n, bool)
-    new[1:] = head[order][1:] != head[order][:-1]
+    new[1:] = (head[order][1:] != head[order][:-1]) | (left[order][1:] != left[order][:-1])
     number(every, new)
     tied = ~new
     tied[:-1] |= ~new[1:]
     at, h = every[tied], 8
-    while h < depth and len(at):
+    while len(at):
         suffix = order[at]
-        mine, further = rank[suffix], rank[suffix + h]
+        mine, further = rank[suffix], rank[np.minimum(suffix + h, n)]
         by = np.argsort(mine.astype(np.uint64) << np.uint64(32) | further.astype(np.uint64), kind="stable")
         order[at] = suffix[by]
         mine, further = mine[by], further[by]
@@ -137,7 +138,7 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         tied = ~new
         tied[:-1] |= ~new[1:]
         at, h = at[tied], h * 2
-    return order, rank[:n]
+    return order
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
@@ -183,7 +184,7 @@ class Shard:
         self.starts = np.repeat(self.begin, starts) + at
         self.valid = np.zeros(len(self.data), bool)
         self.valid[self.starts] = True
-        self.order, _ = suffix_array(self.data, length)
+        self.order = suffix_array(self.data)
 
     def repeated(self) -> np.ndarray:
         """Starts whose string starts elsewhere in the shard too."""
@@ -300,7 +301,7 @@ def repeated_ranges(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     asked = one.join(open_keys, "key").where((F.col("k") > 1) | (F.col("n") == 1))
     wanted = asked.select("at.doc_id", "at.t", F.struct("key", "content", "at.a", "at.b", "parts").alias("w"))
     wanted = written(wanted.groupBy("doc_id", "t").agg(F.collect_list("w").alias("wanted")), "wanted")
-    texts = docs.alias("d").join(small_or_shuffled(wanted, lists="wanted").alias("w"), F.expr("d.doc_id <=> w.doc_id and d.t = w.t")).select("d.doc_id", "d.t", "d.text", "wanted")
+    texts = docs.alias("d").join(small_or_shuffled(wanted).alias("w"), F.expr("d.doc_id <=> w.doc_id and d.t = w.t")).select("d.doc_id", "d.t", "d.text", "wanted")
     texts = texts.mapInArrow(_cut, "key long, content long, text binary, parts int")
     texts = texts.withColumn("part", F.pmod(F.xxhash64("content"), "parts").cast("int"))
     texts = texts.select("key", "content", "text", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))

@@ -35,14 +35,45 @@ def test_rows_of_one_id_and_no_rows(spark):
 
 def test_suffix_array_and_common_prefixes():
     rng = np.random.default_rng(0)
-    for n, letters in ((1, 2), (50, 2), (300, 2), (300, 20), (400, 1)):
-        data = rng.integers(97, 97 + letters, n).astype(np.uint8)
+    for n, letters, first in ((1, 2, 97), (50, 2, 97), (300, 2, 97), (300, 20, 97), (400, 1, 97), (400, 1, 0), (300, 2, 0), (0, 1, 97)):
+        data = rng.integers(first, first + letters, n).astype(np.uint8)
         raw = data.tobytes()
-        order, _ = repeats.suffix_array(data, n)
-        assert order.tolist() == sorted(range(n), key=lambda i: raw[i:]) or letters == 1
+        order = repeats.suffix_array(data)
+        assert order.tolist() == sorted(range(n), key=lambda i: raw[i:])
         out = repeats.common_prefixes(data, order, 60)
         for a, b in zip(order, order[1:], strict=False):
             same = 0
             while max(a, b) + same < n and raw[a + same] == raw[b + same] and same < 60:
                 same += 1
             assert out[b] == same
+
+
+def test_common_prefixes_where_much_longer_ones_repeat():
+    """Passages that agree for many times the length that is asked for, and then differ."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        base = rng.integers(97, 99, 400).astype(np.uint8)
+        parts = []
+        for _ in range(12):
+            at = rng.integers(0, 200)
+            parts += [base[at : at + rng.integers(1, 200)], rng.integers(97, 99, rng.integers(0, 3)).astype(np.uint8)]
+        raw = np.concatenate(parts).tobytes()
+        data = np.frombuffer(raw, np.uint8)
+        order = repeats.suffix_array(data)
+        assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        out = repeats.common_prefixes(data, order, 20)
+        for a, b in zip(order, order[1:], strict=False):
+            assert (out[b] == 20) == (raw[a : a + 20] == raw[b : b + 20] and max(a, b) + 20 <= len(raw))
+
+
+def test_runs_that_agree_far_beyond_the_length(spark):
+    """Texts of one passage of 3,000 bytes, cut and changed in many places: nothing but what repeats may go."""
+    rng = random.Random(9)
+    base = "".join(rng.choice("abc de") for _ in range(3000))
+    rows = []
+    for i in range(60):
+        a, b = sorted(rng.sample(range(3000), 2))
+        at = rng.randrange(a, b)
+        rows.append((i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 3))) + base[a:at] + rng.choice(["", "z", "zz"]) + base[at:b]))
+    found = {r.doc_id: tuple(r)[1:] for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert found == dict(enumerate(brute.without_repeats([t for _, t in rows])))
