@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import flat, mix64, pieces
-from .common import small_or_shuffled, table, written
+from .common import table, written
 
 LENGTH = 400
 GRAM = 100
@@ -301,7 +301,8 @@ def repeated_ranges(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     asked = one.join(open_keys, "key").where((F.col("k") > 1) | (F.col("n") == 1))
     wanted = asked.select("at.doc_id", "at.t", F.struct("key", "content", "at.a", "at.b", "parts").alias("w"))
     wanted = written(wanted.groupBy("doc_id", "t").agg(F.collect_list("w").alias("wanted")), "wanted")
-    texts = docs.alias("d").join(small_or_shuffled(wanted).alias("w"), F.expr("d.doc_id <=> w.doc_id and d.t = w.t")).select("d.doc_id", "d.t", "d.text", "wanted")
+    # what is asked for grows with the corpus, so it is not broadcast at any size
+    texts = docs.alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.t = w.t")).select("d.doc_id", "d.t", "d.text", "wanted")
     texts = texts.mapInArrow(_cut, "key long, content long, text binary, parts int")
     texts = texts.withColumn("part", F.pmod(F.xxhash64("content"), "parts").cast("int"))
     texts = texts.select("key", "content", "text", "part", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
