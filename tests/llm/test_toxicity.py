@@ -61,6 +61,23 @@ def test_rows_without_labels_or_text(spark):
     assert toxicity.scored(docs.limit(0), None).count() == 0
 
 
+def test_null_ids_and_ids_with_several_texts(spark, tmp_path):
+    """A null id is not held out; of several texts of one id the least is learnt from, whatever the order of the rows."""
+    texts = [(k, f"{'foul' if k % 2 else 'fair'} words of text {k}") for k in range(1, 40)]
+    rows = [*texts, (None, "no id"), (None, None), (7, "another text of seven"), (7, "a text of seven")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, k % 2) for k, _ in texts] + [(None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = toxicity.op1_toxicity(spark, str(tmp_path))
+    found = out.collect()
+    assert len(found) == len(rows) and not any(r.held_out for r in found if r.doc_id is None)
+    assert all(r.held_out is not None and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in found)
+    again = toxicity.op1_toxicity(spark, str(tmp_path)).collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, found))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.read.parquet(str(tmp_path / "labels.parquet"))
+    learnt = {d: t for d, t, _ in toxicity.sample(docs, labels)}
+    assert learnt.get(7, "a text of seven") == "a text of seven" and None not in learnt
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_held_out_rows_are_told_apart(spark):
     out = toxicity.op1_toxicity(spark, DATA)
