@@ -117,30 +117,40 @@ def mean_ratio(df: DataFrame, ratios: Column) -> DataFrame:
     return df.withColumn("score", F.when(F.col("n_words") > 0, F.col("_total") / (2 * F.col("n_words"))).otherwise(F.lit(0.0))).drop("_grams", "_total")
 
 
-def cutoff(trusted_docs: DataFrame, ratios: Column, share: float = SHARE) -> float | None:
-    """The score, down to the STEP, of the trusted document at floor(n * share) from below; null if there is none with enough words."""
-    hashes = trusted_docs.select(hashes_of(words_of(F.col("text"))).alias("h")).withColumn("n_words", F.size("h")).where(F.col("n_words") >= WORDS)
-    scores = mean_ratio(hashes.select("n_words", F.concat("h", bigrams_of(F.col("h"))).alias("_grams")), ratios)
-    counts = scores.groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))  # scores span few steps
-    upto, every = F.sum("n").over(W.orderBy("step")), F.sum("n").over(W.partitionBy())
+def rated(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds the base counts, base_failed and score to docs(doc_id, text, ...); ids(doc_id) are the trusted ones, each once."""
+    texts = docs.select("doc_id", "text")
+    ratios = ratio_table(texts, texts.join(small_or_shuffled(ids), "doc_id", "left_semi")).scalar()
+    df = base_counts(docs)
+    df = df.withColumn("base_failed", (F.col("n_words") < WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    return mean_ratio(df, ratios)
+
+
+def cutoff(scores: DataFrame, share: float = SHARE) -> float | None:
+    """The score, down to the STEP, of the row at floor(n * share) from below, of those with enough words; null if there is none."""
+    counts = scores.where(F.col("n_words") >= WORDS).groupBy(F.floor(F.col("score") / STEP).alias("step")).agg(F.count("*").alias("n"))
+    upto, every = F.sum("n").over(W.orderBy("step")), F.sum("n").over(W.partitionBy())  # scores span few steps
     found = counts.select("step", upto.alias("upto"), every.alias("every")).where(F.col("upto") > F.floor(F.col("every") * share))
     least = found.agg(F.min("step")).first()[0]
     return None if least is None else least * STEP
 
 
-def score(docs: DataFrame, trusted_ids: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Adds the base counts, base_failed, score and kept to docs(doc_id, text, ...); without a threshold it is told by the trusted documents."""
-    ids = written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
-    texts = docs.select("doc_id", "text")
-    trusted_docs = texts.join(small_or_shuffled(ids), "doc_id", "left_semi")
-    ratios = written(ratio_table(texts, trusted_docs), "ratios").scalar()
+def decided(rows: DataFrame, ids: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Adds kept to a written table of rated rows; without a threshold the trusted ones among them tell it."""
     if threshold is None:
-        threshold = cutoff(trusted_docs, ratios)
-    df = base_counts(docs)
-    df = df.withColumn("base_failed", (F.col("n_words") < WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    df = mean_ratio(df, ratios)
+        threshold = cutoff(rows.select("doc_id", "n_words", "score").join(small_or_shuffled(ids), "doc_id", "left_semi"))
     enough = F.lit(True) if threshold is None else F.col("score") >= threshold
-    return df.withColumn("kept", ~F.col("base_failed") & enough)
+    return rows.withColumn("kept", ~F.col("base_failed") & enough)
+
+
+def distinct_ids(trusted_ids: DataFrame) -> DataFrame:
+    return written(trusted_ids.select("doc_id").where("doc_id is not null").distinct(), "trusted")
+
+
+def score(docs: DataFrame, trusted_ids: DataFrame, threshold: float | None = None) -> DataFrame:
+    """Adds the base counts, base_failed, score and kept to docs(doc_id, text, ...)."""
+    ids = distinct_ids(trusted_ids)
+    return decided(written(rated(docs, ids), "rated"), ids, threshold)
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -148,9 +158,9 @@ def trusted(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, trusted(table(spark, sf_dir, "labels")))
-    return out.select(
+    ids = distinct_ids(trusted(table(spark, sf_dir, "labels")))
+    rows = rated(table(spark, sf_dir, "documents").select("doc_id", "text"), ids).drop("text")
+    return decided(written(rows, "rated"), ids).select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         "base_failed", "kept", "score",
     )
@@ -158,7 +168,6 @@ def op7_quality(spark, sf_dir: str) -> DataFrame:
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the quality rules keep, with their columns as they were."""
-    out = score(set_aside(docs, "doc_id", "text"), trusted(table(spark, sf_dir, "labels")))
-    # a filter on a deterministic column would be pushed below the counts, with these inlined into one another's lambdas
-    out = out.withColumn("_stays", F.col("kept") & (F.monotonically_increasing_id() >= 0))
-    return out.where("_stays").select(*put_back(docs.columns, {c: F.col(c) for c in ("doc_id", "text")}))
+    ids = distinct_ids(trusted(table(spark, sf_dir, "labels")))
+    rows = rated(set_aside(docs, "doc_id", "text"), ids).select("doc_id", "text", "_rest", "n_words", "base_failed", "score")
+    return decided(written(rows, "rated"), ids).where("kept").select(*put_back(docs.columns, {c: F.col(c) for c in ("doc_id", "text")}))

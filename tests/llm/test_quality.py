@@ -86,15 +86,11 @@ def test_no_rows_and_no_labels(spark):
 
 def test_cutoff_leaves_a_share_below(spark):
     rng = random.Random(8)
-    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(30)] if i % 50 else [f"z{k}" for k in range(30)], k=rng.randint(10, 40)))) for i in range(400)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    ratios = common.written(quality.ratio_table(docs, docs), "ratios").scalar()
-    assert quality.cutoff(docs, ratios) == 0.0  # what equals the corpus has no ratio
-    half = docs.where("doc_id < 200")
-    ratios = common.written(quality.ratio_table(docs, half), "ratios").scalar()
-    scores = sorted(expected_scores(rows, set(range(200)))[:200])
-    for share in (0.0, 0.1, 0.5):
-        assert quality.cutoff(half, ratios, share) == pytest.approx(math.floor(scores[int(200 * share)] / quality.STEP) * quality.STEP)
+    scores = [rng.uniform(-1, 1) for _ in range(400)]
+    rows = spark.createDataFrame([(10 + k % 5, s) for k, s in enumerate(scores)] + [(9, -5.0)], "n_words int, score double").repartition(5)
+    for share in (0.0, 0.001, 0.1, 0.5):
+        assert quality.cutoff(rows, share) == pytest.approx(math.floor(sorted(scores)[int(400 * share)] / quality.STEP) * quality.STEP)
+    assert quality.cutoff(rows.where("n_words < 10")) is None
 
 
 @pytest.mark.parametrize("limit", [10**6, 0])
