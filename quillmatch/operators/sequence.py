@@ -189,17 +189,6 @@ def upper_percentiles(rows: DataFrame, key: str, value: str, share: float) -> Da
     return rows.where(F.col("_upto") > F.col("_at")).groupBy(key).agg(F.min(value).alias(value))
 
 
-def zip_columns(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Blocks of two columns of a page by position, where both have as many and one of them is numbered: (page_id, k, left_text, right_text)."""
-    ranked = lambda df, name: df.select("page_id", F.row_number().over(W.partitionBy("page_id").orderBy("ord")).alias("k"), F.col("text").alias(name), F.col("no").alias(f"{name}_no"))
-    a, b = ranked(left, "left_text"), ranked(right, "right_text")
-    sizes = a.groupBy("page_id").agg(F.count("*").alias("n"), F.count("left_text_no").alias("numbered")).join(
-        b.groupBy("page_id").agg(F.count("*").alias("m"), F.count("right_text_no").alias("also")), "page_id"
-    )
-    fit = sizes.where((F.col("n") == F.col("m")) & (F.col("numbered") + F.col("also") > 0)).select("page_id")
-    return a.join(b, ["page_id", "k"]).join(fit, "page_id", "left_semi").select("page_id", "k", "left_text", "right_text")
-
-
 def items_to_lines(items: DataFrame) -> DataFrame:
     """PDF_ITEMS to (page_id, text): a new line where y moves by more than 2.5, a space where x leaves a gap of more than 1.2."""
     order = W.partitionBy("page_id").orderBy("ord")

@@ -61,3 +61,16 @@ def test_files_in(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     assert {(r.doc_id.rsplit("/")[-1], r.kind, r.size) for r in documents.read_files(spark, str(tmp_path)).collect()} == {("a.txt", "text", 7), ("b.PDF", "pdf", 4), ("c.jpg", "image", 1)}
     assert [r.text for r in documents.read_texts(spark, str(tmp_path / "a.txt")).collect()] == ["one\ntwo"]
+
+
+def test_text_layers_of_no_use_and_pages_with_hindi(spark):
+    from pyspark.sql import functions as F
+
+    from quillmatch.functions import text as X
+
+    words = "plain words of a page " * 20
+    broken = "क ख ग ा ि ी " * 30
+    rows = [(0, words, 1000), (1, "too little", 1000), (2, words, 10**6), (3, words + "\ufffd", 1000), (4, broken, 1000), (5, None, 0), (6, "-- .. " * 100, 0)]
+    df = spark.createDataFrame(rows, "i int, text string, size long")
+    found = {r.i: (r.pictures, r.hindi) for r in df.select("i", documents.needs_pictures(F.col("text"), F.col("size")).alias("pictures"), X.has_hindi(F.col("text")).alias("hindi")).collect()}
+    assert found == {0: (False, False), 1: (True, False), 2: (True, False), 3: (True, False), 4: (True, True), 5: (True, False), 6: (True, False)}
