@@ -182,6 +182,31 @@ def content_scores(spark, sf_dir):
     return match.content_scores(match.signatures(paper, "p_idx"), match.signatures(keys, "k_idx")).withColumn("s", F.round("s", 6))
 
 
+_SHARE = "CASE WHEN least(len({0}), len({1})) > 0 THEN len(list_intersect({0}, {1})) / least(len({0}), len({1})) ELSE 0 END"
+_PAIRS_OF = "list_distinct(list_transform(range(1, greatest(length(b), 1)), lambda i: substr(b, i, 2)))"
+
+
+@query(f"""WITH n AS (SELECT item_id, text, count(*) OVER () AS n, (length(text) // 2)::INT AS h FROM benchmark),
+v AS (SELECT item_id AS p_idx, substr(text, 1, h) AS t, substr(text, h + 1) AS o FROM n UNION ALL SELECT item_id, text, '' FROM n),
+p AS (SELECT p_idx, {listed('t')} AS l, list_distinct({listed('t')}) AS tok, list_distinct(list_concat({listed('t')}, {listed('o')})) AS wide, replace({normal('t')}, ' ', '') AS b FROM v),
+c AS (SELECT (7 * item_id + 3) % n AS k_idx, substr(text, 1, (length(text) * 3 // 4)::INT) AS t FROM n),
+k AS (SELECT k_idx, {listed('t')} AS l, list_distinct({listed('t')}) AS tok, replace({normal('t')}, ' ', '') AS b FROM c),
+pb AS (SELECT *, {_PAIRS_OF} AS bg FROM p), kb AS (SELECT *, {_PAIRS_OF} AS bg FROM k),
+s AS (SELECT p_idx, k_idx, (0.46 * {_SHARE.format('p.tok', 'k.tok')} + 0.24 * {_SHARE.format('p.wide', 'k.tok')}
+    + 0.3 * CASE WHEN least(len(p.bg), len(k.bg)) > 0 THEN 2 * len(list_intersect(p.bg, k.bg)) / (len(p.bg) + len(k.bg)) ELSE 0 END)
+    * (0.72 + 0.28 * least(len(p.l), len(k.l)) / greatest(len(p.l), len(k.l), 1)) * CASE WHEN least(len(p.l), len(k.l)) < 3 THEN 0.82 ELSE 1.0 END AS s FROM pb p CROSS JOIN kb k)
+SELECT 1 AS match_id, p_idx, k_idx, round(max(s), 6) AS s FROM s GROUP BY p_idx, k_idx HAVING max(s) >= 0.42""")
+def variant_scores(spark, sf_dir):
+    """Scores where a question has options and a second language variant: here the halves of an item, and the whole of it."""
+    paper, keys = benchmark_pair(spark, sf_dir)
+    half = (F.length("text") / 2).cast("int")
+    paper = paper.select(
+        "match_id", "p_idx", "no", F.substring("text", F.lit(1), half).alias("text"), F.array(F.substring("text", half + 1, F.length("text"))).alias("options"),
+        F.col("text").alias("alt"), F.array().cast("array<string>").alias("alt_options"),
+    )
+    return match.content_scores(match.signatures(paper, "p_idx"), match.signatures(keys, "k_idx")).withColumn("s", F.round("s", 6))
+
+
 def _assigned_sql(name: str, threshold: float, rounds: int = 12) -> str:
     """CTEs up to `name`: greedy assignment as rounds of pairs that come first on both sides, then what is left by position.
 
