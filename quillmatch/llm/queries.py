@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, lines, mixing, nearcopies, pieces, quality, repeats, toxicity, vectors
+from . import chat, counts, html_text, lines, mixing, nearcopies, pieces, quality, repeats, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_html": html_text.op8_html,
     "op9_vectors": vectors.op9_vectors,
     "op10_lines": lines.op10_lines,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_counts": counts.op12_counts,
 }
 
 ORACLES = {"op4_chat": chat.ORACLE, "op6_mixing": mixing.ORACLE}
