@@ -3,12 +3,14 @@
 Texts go to the tokenizer's own library: tokenizers for a .json file, sentencepiece for a .model file; without begin, end or
 added special tokens, without truncation or padding, special strings inside texts as the library handles them by default.
 
-A text of more than PART bytes is cut where its tokens cannot differ from those of the whole, and parts are dealt to batches of
-about BATCH bytes each, so a batch neither holds one huge text nor thousands of short ones beyond that size. Safe boundaries
-are known for byte-level BPE with its usual pattern: between a letter, digit or underscore and a white space after it (no piece of the
-pattern goes on from one to the other), between an ASCII letter or ideograph and a digit or the reverse, and between an ideograph,
-kana or hangul syllable and CJK punctuation. Where a tokenizer has a normaliser, another pattern or an added token that such a cut could touch, and
-in a stretch without such a place, the text is encoded whole.
+Texts are cut where their tokens cannot differ from those of the whole, so a part's length counts wherever it comes, and each distinct
+part is encoded once, in batches of nearly equal bytes. Safe boundaries are known for byte-level BPE with its usual pattern:
+before white space that follows something else (no piece of the pattern goes on from one to the other), and, in parts longer than PART,
+between an ASCII letter or ideograph and a digit or the reverse, and between an ideograph, kana or hangul syllable and CJK punctuation.
+Where a tokenizer has a normaliser, another pattern or an added token that such a cut could touch, texts are encoded whole; so is a stretch
+without such a place.
+
+A worker remembers the lengths of parts, up to about REMEMBERED bytes, and then begins anew.
 
 Rows stay where they are: no shuffle, one pass over two columns.
 
@@ -23,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,33 +41,41 @@ LIMIT = 512
 #: Bytes of text in a batch, and of a text's part, about.
 BATCH, PART = 400_000, 50_000
 _IDEOGRAPH = "ぁ-ゖァ-ヺ가-힣一-鿿"
-#: Places where the pieces of byte-level BPE's pattern always end.
-CUT = re.compile(rf"(?<=[\w])(?=[ \t\n\r])|(?<=[A-Za-z{_IDEOGRAPH}])(?=[0-9])|(?<=[0-9])(?=[A-Za-z{_IDEOGRAPH}])|(?<=[{_IDEOGRAPH}])(?=[、。，！？；：「」])")
+#: Places within other text where the pieces of byte-level BPE's pattern always end.
+CUT = re.compile(rf"(?<=[A-Za-z{_IDEOGRAPH}])(?=[0-9])|(?<=[0-9])(?=[A-Za-z{_IDEOGRAPH}])|(?<=[{_IDEOGRAPH}])(?=[、。，！？；：「」])")
+#: The white space of Unicode, which is that of the pattern; a part is some of it and what follows.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+PARTS = re.compile(rf"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+REMEMBERED = 64 << 20
 
 
 def splits_safely(description: dict) -> bool:
     """Whether CUT holds for a tokenizer of the tokenizers library, given its file as a dict."""
     before = description.get("pre_tokenizer") or {}
     level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or CUT.search(t["content"]) or t["content"] != t["content"].strip()) for t in description.get("added_tokens", []))
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or CUT.search(t["content"]) or PARTS.findall(t["content"]) != [t["content"]]) for t in description.get("added_tokens", []))
     return bool(level and plain and not description.get("normalizer"))
 
 
-def parts(text: str, most: int) -> list[str]:
-    """The text cut at safe places, each part as long as `most` characters allow or until the next such place."""
-    out, at = [], 0
-    while len(text) - at > most:
-        found = None
-        for back in (256, most):  # a near place first; then any within the part
-            found = max((m.start() for m in CUT.finditer(text, at + most - back, at + most)), default=0)
-            if found > at:
-                break
-        else:
-            later = CUT.search(text, at + most)
-            found = later.start() if later else len(text)
-        out.append(text[at:found])
-        at = found
-    return [*out, text[at:]] if at < len(text) or not out else out
+def parts(text: str, most: int = PART) -> list[str]:
+    """The text cut before white space, and parts of more than `most` characters at the last safe place in each stretch of so many, or the next one."""
+    out = PARTS.findall(text)
+    if len(text) > most and max(map(len, out)) > most:
+        return [piece for part in out for piece in (_cut(part, most) if len(part) > most else [part])]
+    return out
+
+
+def _cut(part: str, most: int) -> list[str]:
+    out, at, last = [], 0, 0
+    for place in (m.start() for m in CUT.finditer(part)):
+        if place - at > most and last > at:
+            out.append(part[at:last])
+            at = last
+        last = place
+    if len(part) - at > most and last > at:
+        out.append(part[at:last])
+        at = last
+    return [*out, part[at:]]
 
 
 class Counter:
@@ -89,21 +100,32 @@ class Counter:
             self.cuts, self.lengths = False, lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
         else:
             raise ValueError("a .json or a .model file is needed")
+        self.known, self.taken = {}, 0
 
-    def count(self, texts: list[str], batch: int = BATCH, part: int = PART) -> np.ndarray:
-        """Tokens of each text."""
-        cut = [parts(x, part) if self.cuts and len(x) > part else [x] for x in texts]
-        flat = [p for row in cut for p in row]
-        owner = np.repeat(np.arange(len(texts)), [len(row) for row in cut])
-        # as many batches as the bytes need, of nearly equal bytes
-        upto = np.cumsum([len(p) for p in flat], dtype=np.int64)
-        number = max(1, int(np.ceil(upto[-1] / batch))) if len(flat) else 1
-        ends = np.unique(np.append(np.searchsorted(upto, upto[-1] * np.arange(1, number) / number) + 1, len(flat))) if len(flat) else []
+    def encoded(self, texts: list[str], batch: int = BATCH) -> list[int]:
+        """Tokens of each text, encoded in as many batches as their bytes need, of nearly equal bytes."""
+        upto = np.cumsum([len(x) for x in texts], dtype=np.int64)
+        number = int(np.ceil(upto[-1] / batch))
+        ends = np.unique(np.append(np.searchsorted(upto, upto[-1] * np.arange(1, number) / number) + 1, len(texts)))
         sizes, at = [], 0
-        for end in ends:
-            sizes += self.lengths(flat[at:end])
+        for end in ends.tolist():
+            sizes += self.lengths(texts[at:end])
             at = end
-        return np.bincount(owner, sizes, len(texts)).astype(np.int64)
+        return sizes
+
+    def count(self, texts: list[str], batch: int = BATCH, part: int = PART) -> list[int]:
+        """Tokens of each text."""
+        if not self.cuts:
+            return self.encoded(texts, batch) if any(texts) else [0] * len(texts)
+        cut = [parts(x, part) for x in texts]
+        new = list(set(chain.from_iterable(cut)) - self.known.keys())
+        if new:
+            if self.taken > REMEMBERED:
+                self.known, self.taken = {}, 0
+                new = list(set(chain.from_iterable(cut)))
+            self.known.update(zip(new, self.encoded(new, batch), strict=True))
+            self.taken += sum(100 + len(x) for x in new)
+        return [sum(map(self.known.__getitem__, row)) for row in cut]
 
 
 _counters: dict[str, Counter] = {}
@@ -129,7 +151,7 @@ def token_counts(docs: DataFrame, name: str = TOKENIZER, limit: int = LIMIT) ->
         worker = counter(name)
         for whole in batches:
             for batch in pieces(whole, "text"):
-                n = worker.count(_strings(batch.column("text")))
+                n = np.array(worker.count(_strings(batch.column("text"))), np.int64)
                 size = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
