@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, counts, html_text, lines, mixing, nearcopies, pieces, quality, repeats, toxicity, vectors, whitening
+from . import chat, counts, html_text, lines, mixing, nearcopies, periods, pieces, quality, repeats, toxicity, vectors, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_lines": lines.op10_lines,
     "op11_whitening": whitening.op11_whitening,
     "op12_counts": counts.op12_counts,
+    "op13_periods": periods.op13_periods,
 }
 
 ORACLES = {"op4_chat": chat.ORACLE, "op6_mixing": mixing.ORACLE}
