@@ -3,7 +3,11 @@
 A page is cut into blocks at block-level tags. The first pass decides: blocks in menus, headers, footers, sidebars,
 notices, adverts, forms or comments (by tag, role, or a whole name in class or id) are boilerplate; the others are judged
 by link density, length and the density of function words. Blocks that are too short or too plain to tell stay open. In
-the second pass these take the label of the nearest decided neighbour. Where a page marks its main part (article, main),
+the second pass these take the label of the nearest decided neighbour, but a block dense with function words goes only from
+between two that are decided against. Function words are listed for four languages. Where a page's text has too few of them to be in one of
+these, and in blocks that are mostly of another script than Latin, length and link density decide alone; characters of scripts without
+spaces between words count threefold. Where nothing is decided for, whatever is neither marked nor links is the text: a page
+of short blocks is one. Where a page marks its main part (article, main),
 only blocks within it are text; there only runs of bare links are decided against, and open blocks follow their neighbours
 out only from between two of them. Names around the main part (a wrapper called `sidebar`, a form around the whole page)
 don't count where without them the page has no text.
@@ -51,7 +55,13 @@ MARKED = frozenset(
     "comment comments commentlist disqus replies respond share sharing social related recommended breadcrumb breadcrumbs newsletter "
     "subscribe subscription pagination pager widget widgets toolbar login signin signup search copyright disclaimer legal skip".split()
 )
-#: Words that a name may hold beside these and still mean the same.
+#: Last words of a name that mark whatever is before them, but for names that tell of a state.
+LAST = frozenset("ad ads advert adverts advertisement advertisements comment comments commentlist sidebar navbar nav navigation footer masthead breadcrumb breadcrumbs newsletter sponsors".split())
+STATE = frozenset("has have with without no not is show hide hides open closed enable enabled disable disabled toggle".split())
+#: First words of a name that mark it together with these, which tell of a place or part.
+FIRST = frozenset("ad ads adv advert adverts advertisement advertising comment comments disqus sponsor sponsored promo".split())
+PARTS = frozenset("slot unit zone space frame label row iframe placeholder leaderboard rectangle skyscraper sticky mpu thread body content meta author reply count feed stream".split())
+#: Words that a name may hold beside marking ones and still mean the same.
 BESIDE = frozenset(
     "a the to top bottom left right inner outer main primary secondary first last site page post posts article articles entry blog story global "
     "box container wrapper wrap block section area list item items links link button buttons bar panel module form list header policy message text".split()
@@ -65,11 +75,15 @@ FUNCTION_WORDS = frozenset(
     "el los las del al y un una es en que por con para su se lo no más como pero sus este esta o ha muy sin sobre también".split()
 )
 WORDS = re.compile(r"[^\W\d_]+")
+LATIN = re.compile(r"[A-Za-z\u00aa\u00ba\u00c0-\u024f\u1e00-\u1eff]")
+#: Characters of scripts without spaces between words: Thai to Burmese, Khmer, kana and ideographs; and how many others one stands for.
+DENSER = re.compile(r"[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+WEIGHT = 3
 SHORT, LONG = 70, 200
 LINKS, PLAIN, DENSE = 0.33, 0.12, 0.22
 #: So many blocks of nothing but links in a row are a menu, also within an article.
 MENU, ALL_LINKS = 3, 0.9
-GOOD, BAD, OPEN, MAYBE = 1, 0, 2, 3
+GOOD, BAD, OPEN, MAYBE, LEAN = 1, 0, 2, 3, 4
 
 
 class State(NamedTuple):
@@ -103,10 +117,13 @@ def attributes(rest: str) -> dict[str, str]:
 
 
 def marks(name: str, in_main: bool) -> bool:
-    """Whether one name of class or id says that an element is no main text: all its words do, or stand beside such."""
-    words = {w.lower() for w in PART.findall(name)}
+    """Whether one name of class or id says that an element is no main text: all its words do, or stand beside such; its last word does; its first does, and a part of it follows."""
+    listed = [w.lower() for w in PART.findall(name)]
+    words = set(listed)
     known = MARKED if in_main else MARKED | {"header"}
-    return bool(words & known) and words <= known | BESIDE
+    if words & known and words <= known | BESIDE:
+        return True
+    return bool(listed) and not words & STATE and (listed[-1] in LAST or (listed[0] in FIRST and words <= known | BESIDE | PARTS))
 
 
 def entered(name: str, rest: str, state: State, unnamed: bool) -> State:
@@ -244,22 +261,49 @@ def blocks_of(html: str, unnamed: bool = False) -> list[Block]:
     return page.blocks
 
 
-def first_pass(text: str, block: Block, top: int) -> int:
-    """GOOD, BAD, or open: MAYBE leans to good when its neighbours disagree. top: the level of the page's main part."""
-    if block.bad or (top and not block.state.level):
-        return BAD
-    linked = block.linked / max(1, sum(map(len, block.parts)))
-    words = WORDS.findall(text.lower())
-    dense = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
-    if top and block.state.level == top:
-        return GOOD if linked <= LINKS and len(text) >= SHORT and dense >= PLAIN else MAYBE
-    if linked > LINKS:
-        return BAD
-    if len(text) < SHORT:
-        return MAYBE if block.state.heading else OPEN
-    if dense >= DENSE:
-        return GOOD if len(text) >= LONG else MAYBE
-    return OPEN if dense >= PLAIN else BAD
+def length(text: str) -> int:
+    """Characters, those of scripts without spaces weighed."""
+    return len(text) + (WEIGHT - 1) * len(DENSER.findall(text)) if not text.isascii() else len(text)
+
+
+class Judge:
+    """The first pass over a page's blocks."""
+
+    def __init__(self, blocks: list[tuple[Block, str]], top: int):
+        self.top = top
+        #: function words, words, and share of links of each block that could be text
+        self.facts = []
+        known = total = 0
+        for block, text in blocks:
+            if block.bad or (top and not block.state.level):
+                self.facts.append(None)
+                continue
+            words = WORDS.findall(text.lower())
+            listed = sum(w in FUNCTION_WORDS for w in words)
+            linked = block.linked / max(1, sum(map(len, block.parts)))
+            self.facts.append((listed, len(words), linked))
+            if linked <= LINKS:
+                known, total = known + listed, total + len(words)
+        #: whether the page's words are those of a language with a list
+        self.listed = known >= PLAIN * total
+
+    def label(self, block: Block, text: str, facts: tuple | None) -> int:
+        """GOOD, BAD, or open: MAYBE leans to good when its neighbours disagree, LEAN unless both are bad."""
+        if facts is None:
+            return BAD
+        listed, number, linked = facts
+        dense = listed / max(1, number)
+        silent = not self.listed or (not text.isascii() and 2 * len(LATIN.findall(text)) < sum(map(str.isalpha, text)))
+        size = length(text)
+        if self.top and block.state.level == self.top:
+            return GOOD if linked <= LINKS and size >= SHORT and (silent or dense >= PLAIN) else MAYBE
+        if linked > LINKS:
+            return BAD
+        if size < SHORT:
+            return MAYBE if block.state.heading else OPEN
+        if silent or dense >= DENSE:
+            return GOOD if size >= LONG else LEAN
+        return OPEN if dense >= PLAIN else BAD
 
 
 def menus(blocks: list[Block]) -> list[bool]:
@@ -279,7 +323,7 @@ def menus(blocks: list[Block]) -> list[bool]:
 def second_pass(labels: list[int], default: int, marked: bool = False) -> list[int]:
     """Open blocks take the label of the nearest decided one; at equal distance, MAYBE becomes good if either is.
 
-    In a marked main part MAYBE is good but between two bad ones.
+    LEAN, and in a marked main part MAYBE, is good but between two bad ones.
     """
     n, before, after = len(labels), [], []
     last = -1
@@ -297,7 +341,7 @@ def second_pass(labels: list[int], default: int, marked: bool = False) -> list[i
             out.append(x)
             continue
         low, high = before[i], after[i]
-        if marked and x == MAYBE:
+        if x == LEAN or (marked and x == MAYBE):
             out.append(max(GOOD if low < 0 else labels[low], GOOD if high == n else labels[high]))
         elif low < 0 and high == n:
             out.append(default if x == OPEN else GOOD)
@@ -314,9 +358,12 @@ def second_pass(labels: list[int], default: int, marked: bool = False) -> list[i
 def _main_text(html: str, unnamed: bool) -> str:
     blocks = [(x, t) for x in blocks_of(html, unnamed) if (t := " ".join("".join(x.parts).split()))]
     top = max((x.state.level for x, _ in blocks if not x.bad), default=0)
-    labels = [first_pass(t, x, top) for x, t in blocks]
+    judge = Judge(blocks, top)
+    labels = [judge.label(x, t, f) for (x, t), f in zip(blocks, judge.facts, strict=True)]
     if not top:
         labels = second_pass(labels, BAD)
+        if GOOD not in labels:
+            labels = [GOOD if f and f[2] <= LINKS else BAD for f in judge.facts]
     else:  # within the main part, only its own blocks are neighbours
         inside = [i for i, (x, _) in enumerate(blocks) if x.state.level and not x.bad]
         listed = menus([blocks[i][0] for i in inside])

@@ -32,7 +32,7 @@ def test_without_marked_main_part():
     ("html", "expected"),
     [
         ("", ""),
-        ("plain text without any tag", ""),
+        ("plain text without any tag", "plain text without any tag"),
         (f"<p>{PROSE}", PROSE),
         (f"<article><p>{PROSE}<p>{PROSE}<br><br>{PROSE}</article></b></div>", "\n".join([PROSE] * 3)),
         (f"<article><p>{PROSE}</p><p title='a > b'>It <b>is</b> <i>so</i>.</p></article><foot", f"{PROSE}\nIt is so."),
@@ -156,3 +156,55 @@ def test_random_articles_against_another_parser():
         other = Plain()
         other.feed(html)
         assert text(html) == "\n".join(" ".join(b.split()) for b in other.blocks), html
+
+
+main_text = html_text.main_text
+SENTENCE = "This is the plain sentence that was written for the page and it says that the words of it are in the order in which they have been put by the one who wrote it."
+SCRIPTS = {
+    "Cyrillic": "Это предложение на русском языке, которое стоит на странице без всякой разметки главной части. " * 4,
+    "Han": "这是一个没有标记主要部分的网页上的中文段落，它应该被完整地保留下来。" * 5,
+    "Greek": "Αυτή είναι μια πρόταση στα ελληνικά που βρίσκεται στη σελίδα χωρίς σήμανση του κύριου μέρους. " * 4,
+    "Arabic": "هذه جملة باللغة العربية توجد في الصفحة دون أي علامة للجزء الرئيسي منها ويجب أن تبقى كاملة. " * 4,
+    "Devanagari": "यह हिन्दी का एक वाक्य है जो पृष्ठ पर बिना किसी मुख्य भाग के चिह्न के लिखा हुआ है और इसे रहना चाहिए। " * 4,
+    "Thai": "นี่คือประโยคภาษาไทยที่อยู่ในหน้าเว็บโดยไม่มีเครื่องหมายส่วนหลักและควรจะถูกเก็บไว้ทั้งหมด" * 4,
+    "Latin, another language": "Questa frase italiana sta sulla pagina senza alcun segno della parte principale, quindi bisogna conservarla tutta quanta. " * 3,
+}
+
+
+@pytest.mark.parametrize("text", SCRIPTS.values(), ids=SCRIPTS.keys())
+def test_whole_pages_in_languages_without_a_list(text):
+    text = text.strip()
+    menu = "<nav><a href='/a'>One</a> <a href='/b'>Two</a></nav><ul><li><a href='/c'>Three</a></li></ul>"
+    assert main_text(f"<div>{text}</div>") == text
+    assert main_text(f"{menu}<div><p>{text}</p><p>{text}</p></div><div class='footer'>{text}</div>") == f"{text}\n{text}"
+
+
+def test_a_quote_in_another_script_stays_in_an_english_page():
+    quote = SCRIPTS["Cyrillic"].strip()
+    assert main_text(f"<div><p>{SENTENCE} {SENTENCE}</p><p>{quote}</p><p>{SENTENCE} {SENTENCE}</p></div>").split("\n")[1] == quote
+
+
+def test_an_opening_paragraph_beside_a_menu_stays():
+    page = f"<nav><a href='/'>Home</a></nav><div><p>{SENTENCE}</p><p>Short one.</p><p>{SENTENCE} {SENTENCE}</p></div>"
+    assert main_text(page) == f"{SENTENCE}\nShort one.\n{SENTENCE} {SENTENCE}"
+    assert main_text(f"<nav><a href='/'>Home</a></nav><p>{SENTENCE}</p><footer>Small print.</footer>") == SENTENCE
+    # between two menus it goes, where the page has other text
+    between = f"<p>{SENTENCE} {SENTENCE}</p><nav><a href='/'>Home</a></nav><p>{SENTENCE}</p><nav><a href='/'>Home</a></nav>"
+    assert main_text(between) == f"{SENTENCE} {SENTENCE}"
+
+
+def test_pages_of_short_blocks():
+    assert main_text("<div><p>Yes.</p><p>No.</p></div>") == "Yes.\nNo."
+    assert main_text("<nav>Menu</nav><p>Yes.</p><p><a href='/x'>Elsewhere</a></p><div class='cookie-notice'>We use some.</div>") == "Yes."
+    assert main_text("<p><a href='/x'>Only</a></p><p><a href='/y'>links</a></p>") == ""
+
+
+@pytest.mark.parametrize("name", ["ad-unit-300", "advert-slot", "google-ads", "user-comments", "reader-comments", "articleComments", "AdSlot_3", "comment-author", "page__sidebar", "story-newsletter"])
+def test_compound_names_that_mark(name):
+    for page in (f"<article><p>{SENTENCE} {SENTENCE}</p><div class='x {name}'>{SENTENCE} Buy.</div></article>", f"<article><p>{SENTENCE} {SENTENCE}</p><div id='{name}'><p>{SENTENCE} {SENTENCE} Mine.</p></div></article>"):
+        assert main_text(page) == f"{SENTENCE} {SENTENCE}"
+
+
+@pytest.mark.parametrize("name", ["share-price", "notice-board", "has-sidebar", "title-bar", "market-share", "commentary", "post-content", "no-comments", "adagio", "shadow-box"])
+def test_compound_names_that_do_not(name):
+    assert main_text(f"<article><div class='{name}'><p>{SENTENCE}</p></div></article>") == SENTENCE
