@@ -10,7 +10,7 @@ is a task of its own, so that no task holds an unbounded group. Inside a task a
 is not aligned again; only links that join two classes leave the task, fewer than it has texts.
 
 Defined results: null, empty or wordless texts are each a class of their own; texts of under five words have one shingle,
-the whole text; rows that repeat a doc_id are one document; extra columns are not read; an empty table gives no rows.
+the whole text; rows that repeat a doc_id are one document, and of several texts of one id that with the least hash counts; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -99,10 +99,10 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(begin, np.diff(np.append(begin, at[-1]))).astype(np.uint64)
                 whole_text = [np.add.reduceat(mix64(hashes ^ mix64(place * BASE + np.uint64(s))), begin) + n[some].astype(np.uint64) for s in (1, 2)]
-            columns = [batch.column("doc_id").take(pa.array(some)), *[pa.array(x.view(np.int64)) for x in whole_text]]
+            columns = [batch.column("doc_id").take(pa.array(some)), batch.column("t").take(pa.array(some)), *[pa.array(x.view(np.int64)) for x in whole_text]]
             flat_keys = pa.array(np.ascontiguousarray(keys.T).reshape(-1).view(np.int64))
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(keys)), flat_keys))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "s1", "s2", "keys"])
 
 
 def common_length(a: list[int], b: list[int], least: int) -> int:
@@ -219,10 +219,12 @@ def _verify(similarity: float):
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs(doc_id, text) to (doc_id, class_id): one row per doc_id, class_id the least doc_id of its class."""
-    rows = docs.select("doc_id", "text").mapInArrow(_sketch_rows, "doc_id long, s1 long, s2 long, keys array<long>")
-    rows = written(rows.where("doc_id is not null"), "sketches")
+    named = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").where("doc_id is not null")
+    rows = named.mapInArrow(_sketch_rows, "doc_id long, t long, s1 long, s2 long, keys array<long>")
+    # of several texts of an id one is taken, by its hash, here and where texts are read again
+    rows = written(rows.groupBy("doc_id").agg(F.min(F.struct("t", "s1", "s2", "keys")).alias("r")).select("doc_id", "r.*"), "sketches")
     same = written(rows.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "texts")
-    reps = rows.join(same.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = rows.join(same.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keys = reps.select("doc_id", F.explode("keys").alias("bucket"))
     buckets = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("members")).where("n > 1")
     buckets = buckets.groupBy("n", "members").agg(F.min("bucket").alias("bucket"))  # sketches often make the same bucket again
@@ -230,13 +232,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     member = member.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
     member = member.select("bucket", "doc_id", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     member = written(member.select("bucket", "doc_id", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")), "members")
-    ids = written(member.select("doc_id").distinct(), "ids")
-    texts = docs.select("doc_id", "text").join(small_or_shuffled(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    ids = written(reps.join(member.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "t"), "ids")
+    texts = named.join(small_or_shuffled(ids), ["doc_id", "t"], "left_semi").dropDuplicates(["doc_id"])
     full = member.join(texts, "doc_id")
     links = full.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(_verify(similarity), "a long, b long")
     rooted = components(links).withColumnRenamed("id", "rep")
     of_text = same.join(rooted, "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("class_id"))
-    found = rows.join(of_text, ["s1", "s2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    found = rows.join(of_text, ["s1", "s2"]).select("doc_id", "class_id")
     return docs.select("doc_id").distinct().join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -49,6 +49,17 @@ def test_repeated_rows_and_no_rows(spark):
     assert nearcopies.classes(docs.limit(0)).count() == 0
 
 
+def test_of_several_texts_of_an_id_one_counts_at_each_place(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = {name: " ".join(base[:at] + [name] + base[at:]) for name, at in (("x", 30), ("y", 31))} | {"far": " ".join(f"z{k}" for k in range(60))}
+    near = spark.createDataFrame([(9, " ".join(base), 1)], "doc_id long, text string, t int")
+    for order in (["x", "far"], ["far", "x"]):
+        docs = near.unionByName(spark.createDataFrame([(4, texts[k], 1) for k in order] + [(7, texts["y"], 1)], "doc_id long, text string, t int"))
+        taken = min(("x", "far"), key=lambda k: spark.createDataFrame([(texts[k],)], "text string").selectExpr("xxhash64(text)").first()[0])
+        found = {r.doc_id: r.class_id for r in nearcopies.classes(docs.repartition(3)).collect()}
+        assert found == ({4: 4, 7: 4, 9: 4} if taken == "x" else {4: 4, 7: 7, 9: 7})
+
+
 def test_common_length():
     rng = random.Random(2)
     for _ in range(2000):
