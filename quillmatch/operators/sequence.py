@@ -226,6 +226,21 @@ def read_key(route, text, image):
     return F.sha2(F.concat_ws("|", route, F.coalesce(image, text), F.when(image.isNotNull(), text)), 256)
 
 
+def request_key(route, rest, texts, images, body):
+    """The key of a request: base64 of a SHA-256 over its parts, each with its length before it, so that no two requests share a text.
+
+    A request with pictures (an array) is its pictures and instructions (an array) under its route, whatever model and path it goes
+    to; one without is its route, path and whole body. Null parts are empty.
+    """
+    part = lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)
+    one = lambda x: part(F.coalesce(x, F.lit("")))
+    listed = lambda x: F.coalesce(F.filter(x, lambda y: y.isNotNull()), F.array().cast("array<string>"))
+    many = lambda x: F.concat(F.size(listed(x)).cast("string"), F.lit(";"), F.array_join(F.transform(listed(x), part), ""))
+    page = F.concat(F.lit("page|"), one(route), many(texts), many(images))
+    whole = F.concat(F.lit("req|"), one(route), one(rest), one(body))
+    return F.base64(F.unhex(F.sha2(F.when(F.size(listed(images)) > 0, page).otherwise(whole), 256)))
+
+
 def read_dedup(reads: DataFrame, hours: int = 12) -> DataFrame:
     """reads(k, at, ...): those that a cache with a fixed life from the first read would have to make; a hit does not renew it.
 

@@ -9,19 +9,7 @@ from quillmatch.functions import text as X
 from quillmatch.operators import analyze, assemble, bilingual, match, parse, score, sequence
 
 from .derived import benchmark_pair, line_items, match_benchmark, parts, scored_rows, table
-
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 ITEMS = """WITH items AS (
   SELECT l_orderkey AS match_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)::INT AS no,
@@ -632,3 +620,6 @@ def option_alphabets(spark, sf_dir):
     correct = F.when(F.col("no") % 3 == 0, "2").otherwise(F.col("correct"))
     options = F.when(F.col("no") % 3 == 1, F.array(*[F.lit(f"({k}) x") for k in range(1, 5)]))
     return rows.select("match_id", "no", F.array_join(analyze.alphabet(correct, F.col("mine"), options), "").alias("letters"))
+
+
+from . import pictures, requests  # noqa: E402, F401
