@@ -157,3 +157,11 @@ def preview(text: Column, most: int = 90) -> Column:
 def letter_of(number: Column) -> Column:
     """1 to 8 as A to H; null beyond."""
     return F.when(number.between(1, 8), F.char(64 + number))
+
+
+def version_key(name: Column, pattern: str = r"([0-9]+)") -> Column:
+    """The numbers of a name as an array, which sorts number by number, and of two that begin alike the shorter first; null for a null name.
+
+    The pattern's first group tells a number; numbers of more than nine digits count as the greatest of nine.
+    """
+    return F.transform(F.regexp_extract_all(name, F.lit(pattern), F.lit(1)), lambda x: F.when(F.length(F.ltrim(x, F.lit("0"))) > 9, 999_999_999).otherwise(x.try_cast("int")))

@@ -102,38 +102,40 @@ def content_scores(p: DataFrame, k: DataFrame, threshold: float = THRESHOLD) ->
 
 def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
     taken_p, taken_k, rows = set(), set(), []
-    for r in pairs.sort_values(["s", "p_idx", "k_idx"], ascending=[False, True, True]).itertuples():
-        if r.p_idx not in taken_p and r.k_idx not in taken_k:
-            taken_p.add(r.p_idx)
-            taken_k.add(r.k_idx)
-            rows.append((r.match_id, r.p_idx, r.k_idx, r.s, "content"))
-    return pd.DataFrame(rows, columns=["match_id", "p_idx", "k_idx", "confidence", "method"])
+    pairs = pairs.sort_values(["s", "p_idx", "k_idx"], ascending=[False, True, True])
+    for at, (p, k) in enumerate(zip(pairs["p_idx"], pairs["k_idx"], strict=True)):
+        if p not in taken_p and k not in taken_k:
+            taken_p.add(p)
+            taken_k.add(k)
+            rows.append(at)
+    return pairs.iloc[rows].rename(columns={"s": "confidence"}).assign(method="content")
 
 
-def greedy(pairs: DataFrame) -> DataFrame:
-    """One-to-one assignment by falling score, ties by p_idx, then k_idx.
+def greedy(pairs: DataFrame, keys: tuple[str, ...] = ("match_id",)) -> DataFrame:
+    """One-to-one assignment in each match, by falling score, ties by p_idx, then k_idx.
 
-    Matches of at most TOGETHER pairs are assigned in one task each. In larger ones, each round takes the pairs that come first
-    in that order both for their p_idx and for their k_idx, which are those that going through the pairs one by one takes too.
+    A match is told by the columns `keys`. Matches of at most TOGETHER pairs are assigned in one task each. In larger ones, each round
+    takes the pairs that come first in that order both for their p_idx and for their k_idx, which are those that going through the
+    pairs one by one takes too.
     """
-    kind = pairs.schema["match_id"].dataType.simpleString()
-    p, k = pairs.schema["p_idx"].dataType.simpleString(), pairs.schema["k_idx"].dataType.simpleString()
-    pairs = checkpointed(pairs.select("match_id", "p_idx", "k_idx", "s"))
+    pairs = checkpointed(pairs.select(*keys, "p_idx", "k_idx", "s"))
+    schema = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in (*keys, "p_idx", "k_idx")) + ", confidence double, method string"
     done, left = None, pairs
     while True:
-        large = left.groupBy("match_id").count().where(F.col("count") > TOGETHER).select("match_id")
-        large = checkpointed(large)
-        small = left.join(large, "match_id", "left_anti") if (more := not large.isEmpty()) else left
-        found = small.groupBy("match_id").applyInPandas(_greedy, f"match_id {kind}, p_idx {p}, k_idx {k}, confidence double, method string")
+        count = left.groupBy(*keys).count()
+        more = (count.agg(F.max("count")).first()[0] or 0) > TOGETHER
+        large = checkpointed(count.where(F.col("count") > TOGETHER).select(*keys)) if more else None
+        small = left.join(large, [*keys], "left_anti") if more else left
+        found = small.groupBy(*keys).applyInPandas(_greedy, schema)
         done = found if done is None else done.unionByName(found)
         if not more:
             return done
-        left = left.join(large, "match_id", "left_semi")
+        left = left.join(large, [*keys], "left_semi")
         place = F.min(F.struct((-F.col("s")).alias("order"), "p_idx", "k_idx")).alias("b")
-        firsts = [left.groupBy("match_id", c).agg(place).select("match_id", "b.p_idx", "b.k_idx", (-F.col("b.order")).alias("confidence")) for c in ("p_idx", "k_idx")]
-        both = checkpointed(firsts[0].join(firsts[1].drop("confidence"), ["match_id", "p_idx", "k_idx"]))
+        firsts = [left.groupBy(*keys, c).agg(place).select(*keys, "b.p_idx", "b.k_idx", (-F.col("b.order")).alias("confidence")) for c in ("p_idx", "k_idx")]
+        both = checkpointed(firsts[0].join(firsts[1].drop("confidence"), [*keys, "p_idx", "k_idx"]))
         done = done.unionByName(both.withColumn("method", F.lit("content")))
-        left = checkpointed(left.join(both, ["match_id", "p_idx"], "left_anti").join(both, ["match_id", "k_idx"], "left_anti"))
+        left = checkpointed(left.join(both, [*keys, "p_idx"], "left_anti").join(both, [*keys, "k_idx"], "left_anti"))
 
 
 def ranked(rows: DataFrame, idx: str) -> DataFrame:
@@ -165,19 +167,19 @@ def by_content(paper: DataFrame, keys: DataFrame, threshold: float = THRESHOLD,
 def ladder(paper: DataFrame, keys: DataFrame, rungs: Iterable[float] = LADDER) -> DataFrame:
     """The first rung that covers COVERED of the paper, or else the one with most content rows, the earliest on ties.
 
-    Pairs are scored once, for the lowest rung; each rung filters them.
+    Pairs are scored once, for the lowest rung, and all rungs are assigned as one frame, by match and rung. What is left over is paired
+    by position for the chosen rung alone; a match without a content row at any rung is paired so altogether.
     """
     rungs = list(rungs)
-    scores = checkpointed(content_scores(signatures(paper, "p_idx"), signatures(keys, "k_idx"), min(rungs)))
+    scores = content_scores(signatures(paper, "p_idx"), signatures(keys, "k_idx"), min(rungs))
+    reached = F.filter(F.array(*[F.when(F.col("s") >= r, i) for i, r in enumerate(rungs)]), lambda x: x.isNotNull())
+    found = checkpointed(greedy(scores.withColumn("rung", F.explode(reached)), ("match_id", "rung")))
     size = paper.groupBy("match_id").agg(F.count("*").alias("size"))
-    runs = None
-    for i, rung in enumerate(rungs):
-        run = by_content(paper, keys, rung, scores=scores).withColumn("rung", F.lit(i))
-        runs = run if runs is None else runs.unionByName(run)
-    count = runs.groupBy("match_id", "rung").agg(F.count_if(F.col("method") == "content").alias("content")).join(size, "match_id")
+    count = found.groupBy("match_id", "rung").agg(F.count("*").alias("content")).join(size, "match_id")
     covers = F.col("content") >= COVERED * F.col("size")
     best = count.groupBy("match_id").agg(F.coalesce(F.min(F.when(covers, F.col("rung"))), F.min_by("rung", F.struct(-F.col("content"), "rung"))).alias("rung"))
-    return runs.join(best, ["match_id", "rung"]).drop("rung")
+    content = found.join(best, ["match_id", "rung"]).drop("rung")
+    return content.unionByName(position_fallback(paper, keys, content))
 
 
 def recovered(paper: DataFrame, assigned: DataFrame, found: DataFrame) -> DataFrame:

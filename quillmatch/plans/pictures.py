@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillmatch.operators import chains, leaders, regions
+from quillmatch.functions import text as X
+from quillmatch.operators import chains, leaders, masks, regions
 
 from .derived import table
 from .registry import query
@@ -88,3 +89,52 @@ def line_chains(spark, sf_dir):
     before = F.sum(F.length("line") + 1).over(W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
     candidates = lines.select("key", F.coalesce(before, F.lit(0)).alias("at"), F.length("line").alias("weight")).where("weight > 0")
     return chains.best_chains(candidates, "120", 3).withColumn("score", F.round("score", 6))
+
+
+_GREY = """g AS (SELECT page_id, c // 8 AS y, c % 8 AS x, floor((v::DOUBLE + 1) * 128)::BIGINT AS grey FROM dark WHERE v IS NOT NULL),
+r AS (SELECT *, sum(grey) OVER w AS s1, count(*) OVER w AS n1 FROM g WINDOW w AS (PARTITION BY page_id, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+b AS (SELECT *, sum(s1) OVER w AS s, sum(n1) OVER w AS n FROM r WINDOW w AS (PARTITION BY page_id, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+p AS (SELECT page_id, list_sort(list(grey))[least(count(*) - 1, floor(count(*) * 0.75)::BIGINT) + 1] AS bright FROM g GROUP BY page_id),
+ink AS (SELECT page_id, y, x, grey * 100 * n < s * 72 AS tight, grey * 100 * n < s * 80 AS light, grey * 100 * n < s * 84 AS print
+  FROM b JOIN p USING (page_id) WHERE s * 10 > bright * 6 * n AND grey * 100 * n < s * 84)"""
+
+
+def _grey(spark, sf_dir):
+    """Pictures as cells of grey: -1 is black, 1 is white."""
+    pictures = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("page_id"), F.posexplode("embedding").alias("c", "v")).where("v is not null")
+    return pictures.select("page_id", F.floor(F.col("c") / SIDE).cast("int").alias("y"), (F.col("c") % SIDE).alias("x"), F.floor((F.col("v").cast("double") + 1) * 128).alias("grey"))
+
+
+@query(f"WITH {_DARK}, {_GREY} SELECT * FROM ink")
+def local_ink(spark, sf_dir):
+    """Cells of every picture that are darker than those around them."""
+    return masks.ink(_grey(spark, sf_dir), 1)
+
+
+@query(f"""WITH {_DARK}, {_GREY},
+pts AS (SELECT page_id, y, x FROM ink WHERE page_id IN (SELECT page_id FROM ink GROUP BY 1 HAVING count(*) >= 4)),
+h1 AS (SELECT page_id, t, floor(y + t::DOUBLE / 1000 * (x - 4.0::DOUBLE) + 100) AS bin, count(*) AS c FROM pts, (SELECT unnest(range(-90, 91, 10)) AS t) GROUP BY ALL),
+s1 AS (SELECT page_id, t, sum(c * c)::DOUBLE / count(*) - (sum(c)::DOUBLE / count(*)) * (sum(c)::DOUBLE / count(*)) AS sc FROM h1 GROUP BY 1, 2),
+b1 AS (SELECT page_id, t AS t1, sc AS c1 FROM s1 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sc DESC, t) = 1),
+h2 AS (SELECT page_id, t1 + d AS t, floor(y + (t1 + d)::DOUBLE / 1000 * (x - 4.0::DOUBLE) + 100) AS bin, count(*) AS c FROM pts JOIN b1 USING (page_id), (SELECT unnest(range(-9, 10, 2)) AS d) GROUP BY ALL),
+s2 AS (SELECT page_id, t, sum(c * c)::DOUBLE / count(*) - (sum(c)::DOUBLE / count(*)) * (sum(c)::DOUBLE / count(*)) AS sc FROM h2 GROUP BY 1, 2),
+b2 AS (SELECT page_id, t AS t2, sc AS c2 FROM s2 QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sc DESC, t) = 1),
+e AS (SELECT page_id, CASE WHEN c2 > c1 THEN t2 ELSE t1 END AS t FROM b1 JOIN b2 USING (page_id))
+SELECT page_id, (CASE WHEN abs(t) < 2 THEN 0 ELSE t END)::INT AS tilt FROM e""")
+def picture_tilt(spark, sf_dir):
+    """The tilt of the ink of every picture with four cells of it or more."""
+    points = masks.ink(_grey(spark, sf_dir), 1)
+    widths = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("page_id"), F.lit(SIDE).alias("w")).distinct()
+    return masks.tilts(points, widths, 4)
+
+
+@query("""WITH n AS (SELECT p_partkey, p_type, concat('m', p_partkey % 7, '.', p_size, CASE WHEN p_partkey % 3 = 0 THEN '.' || (p_partkey % 11) ELSE '' END, CASE WHEN p_partkey % 5 = 0 THEN '-lite' ELSE '' END) AS name FROM part),
+r AS (SELECT *, list_transform(regexp_extract_all(name, '([0-9]+)', 1), lambda x: x::INT) AS v, CASE WHEN name LIKE '%-lite%' THEN 0 ELSE 1 END AS plain FROM n)
+SELECT p_type, p_partkey, name, row_number() OVER (PARTITION BY p_type ORDER BY v DESC, plain DESC, p_partkey)::INT AS place FROM r""")
+def version_order(spark, sf_dir):
+    """Models of each kind, the newest version first, plain ones before lite ones of the same version."""
+    part = lambda c: F.col(c).cast("string")
+    name = F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string"), F.lit("."), part("p_size"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("."), (F.col("p_partkey") % 11).cast("string"))).otherwise(""), F.when(F.col("p_partkey") % 5 == 0, "-lite").otherwise(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", name.alias("name"))
+    order = W.partitionBy("p_type").orderBy(F.desc(X.version_key(F.col("name"))), F.contains("name", F.lit("-lite")), "p_partkey")
+    return rows.select("p_type", "p_partkey", "name", F.row_number().over(order).alias("place"))
