@@ -269,23 +269,47 @@ def second_hash(line):
     return F.xxhash64(F.lit("second"), line)
 
 
-def kept_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
-    """(doc_id, kept, n_near): positions and hashes of the lines that stay, and how many first lines went as near copies."""
+def judged_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
+    """(h, g, first, near): each different line, by its two hashes, where it stands first, and whether it goes as a near copy."""
     hashed = lines_of(docs).select("doc_id", "pos", F.xxhash64("line").alias("h"), second_hash(F.col("line")).alias("g"))
     firsts = hashed.groupBy("h", "g").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
     near = near_lines(docs, edits, min_chars, block).withColumn("near", F.lit(True))
-    judged = firsts.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-    stays = F.when(~F.col("near"), F.struct(F.col("first.pos").alias("pos"), "h"))
-    return judged.groupBy(F.col("first.doc_id").alias("doc_id")).agg(
-        F.sort_array(F.collect_list(stays)).alias("kept"), F.count_if("near").alias("n_near")
-    )
+    return firsts.join(near, ["h", "g"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+
+
+def _stays():
+    return F.sort_array(F.collect_list(F.when(~F.col("near"), F.struct("pos", "h"))))
+
+
+def kept_lines(judged: DataFrame) -> DataFrame:
+    """judged_lines to (doc_id, kept, n_near): positions and hashes of the lines that stay, and how many first lines went as near copies, of each doc_id."""
+    mine = judged.where("first.doc_id is not null").select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"), "h", "near")
+    return mine.groupBy("doc_id").agg(_stays().alias("kept"), F.count_if("near").alias("n_near"))
+
+
+def kept_of_unnamed(rows: DataFrame, judged: DataFrame) -> DataFrame:
+    """rows(_row, text) without a doc_id to (_row, kept, n_near): as kept_lines, of each row, for these may be any number."""
+    lines = rows.select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.where(F.col("line").rlike(WORD)).select("_row", "pos", F.xxhash64("line").alias("h"), second_hash(F.col("line")).alias("g"))
+    first = judged.where("first.doc_id is null").select("h", "g", F.col("first.pos").alias("pos"), "near")
+    return lines.join(first, ["h", "g", "pos"]).groupBy("_row").agg(_stays().alias("kept"), F.count_if("near").alias("n_near"))
+
+
+def with_kept(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
+    """docs(doc_id, text, ...) and kept, n_near; rows without a doc_id, if there are any, are judged each by itself."""
+    judged = judged_lines(docs.select("doc_id", "text"), edits, min_chars, block)
+    if docs.where("doc_id is null").isEmpty():
+        return docs.join(kept_lines(judged), "doc_id", "left")
+    judged = written(judged, "judged")
+    unnamed = written(docs.where("doc_id is null").withColumn("_row", F.monotonically_increasing_id()), "unnamed")
+    named = docs.where("doc_id is not null").join(kept_lines(judged), "doc_id", "left")
+    return named.unionByName(unnamed.join(kept_of_unnamed(unnamed.select("_row", "text"), judged), "_row", "left").drop("_row"))
 
 
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs with their texts without the lines that go; n_chars, where there is one, follows the text."""
-    kept = kept_lines(docs.select("doc_id", "text"), edits, min_chars).select(F.col("doc_id").alias("_id"), "kept")
     used = [c for c in ("doc_id", "text", "n_chars") if c in docs.columns]
-    out = set_aside(docs, *used).join(kept, F.expr("doc_id <=> _id"), "left").withColumn("_lines", F.split("text", "\n"))
+    out = with_kept(set_aside(docs, *used), edits, min_chars).withColumn("_lines", F.split("text", "\n"))
     mine = F.filter(F.coalesce("kept", F.array().cast("array<struct<pos:int,h:bigint>>")), lambda k: F.xxhash64(F.get("_lines", k["pos"])) == k["h"])
     blank = F.filter(F.transform("_lines", lambda x, i: F.when(~x.rlike(WORD), i)), lambda i: i.isNotNull())
     out = out.withColumn("_at", F.sort_array(F.concat(F.transform(mine, lambda k: k["pos"]), blank)))
@@ -297,10 +321,9 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     """Per document: how many lines it has, how many go as equal or as near copies, and the positions that stay."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = kept_lines(docs).select(F.col("doc_id").alias("_id"), F.transform("kept", lambda k: k["pos"]).alias("kept_lines"), "n_near")
+    docs = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))).cast("long")
-    out = docs.select("doc_id", count.alias("n_lines")).join(kept, F.expr("doc_id <=> _id"), "left")
+    out = docs.select("doc_id", count.alias("n_lines"), F.transform("kept", lambda k: k["pos"]).alias("kept_lines"), "n_near")
     out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>"))).withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     removed = F.col("n_lines") - F.size("kept_lines")
     return out.select("doc_id", "n_lines", (removed - F.col("n_near")).alias("n_equal"), "n_near", removed.alias("n_removed"), "kept_lines")

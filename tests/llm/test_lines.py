@@ -30,11 +30,11 @@ def test_lines_that_stay(spark, block):
     rows = fixture()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     expected = brute.lines_kept(rows)
-    found = {r.doc_id: r for r in lines.kept_lines(docs, block=block).collect()}
+    found = {r.doc_id: r for r in lines.with_kept(docs, block=block).collect()}
     for doc, (keep, _, near) in expected.items():
-        got = found.get(doc)
-        assert ([k.pos for k in got.kept] if got else []) == keep
-        assert (got.n_near if got else 0) == near
+        got = found[doc]
+        assert [k.pos for k in got.kept or []] == keep
+        assert (got.n_near or 0) == near
     assert sum(n for _, _, n in expected.values()) > 20
 
 
@@ -59,6 +59,20 @@ def test_null_ids_are_one_document_before_all_others(spark):
     assert sorted((r.doc_id or 0, r.text) for r in found) == sorted([(0, f"{line}!\nother"), (0, f"{line}\nown"), (1, "last"), (2, "")])
 
 
+def test_many_rows_without_an_id(spark, tmp_path):
+    """Each gets its own lines back, not those of all."""
+    line = "a line of more than twenty letters, and of these number {:05d}"
+    other = [f"{c * 30} one of its own" for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(None, f"{other[i % 26]}\nshared by them all\n{line.format(i)}") for i in range(500)] + [(3, f"shared by them all\n{line.format(7)}\nmine"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, _row string")
+    found = sorted((r.doc_id or 0, r.text or "") for r in lines.dedup_lines(docs).collect())
+    # lines at one place of the document without a name are not earlier than one another
+    assert found == sorted([(0, r[1] or "") for r in rows if r[0] is None] + [(3, "mine")])
+    docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    counts = lines.op10_lines(spark, str(tmp_path)).collect()
+    assert sorted({len(r.kept_lines) for r in counts if r.doc_id is None}) == [0, 3] and {(r.n_lines, r.n_removed) for r in counts if r.doc_id == 3} == {(3, 2)}
+
+
 def test_a_hot_group_of_near_copies_settles_without_pairs(spark):
     """Every line of one large group finds its witness in the first: nothing is left to the search in blocks."""
     rng = random.Random(3)
