@@ -58,8 +58,8 @@ def reached(first: DataFrame, next_of: DataFrame) -> DataFrame:
         more = checkpointed(jump.join(known, "id", "left_semi").select(F.col("next").alias("id")).join(known, "id", "left_anti").distinct())
         if more.isEmpty():
             return known
-        known = checkpointed(known.unionByName(more))
-        jump = checkpointed(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("further")), "next").select("id", F.col("further").alias("next")))
+        known = checkpointed(known.unionByName(more), replaces=known)
+        jump = checkpointed(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("further")), "next").select("id", F.col("further").alias("next")), replaces=jump)
 
 
 def flights(reads: DataFrame, life: int = LIFE, ranges: int | None = None) -> DataFrame:

@@ -71,7 +71,7 @@ def covered_by_leaders(links: DataFrame) -> DataFrame:
         covered = checkpointed(edges.join(lead, "a", "left_semi").select("b").distinct())
         done.append(covered)
         rest = edges.join(covered, "b", "left_anti").join(covered.select(F.col("b").alias("a")), "a", "left_anti")
-        edges = checkpointed(rest)
+        edges = checkpointed(rest, replaces=edges)
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -25,15 +26,34 @@ TOGETHER = 200_000
 STRETCH = 1000
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder. Where none is set, a local session gets one; a cluster has to name one that all share."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The checkpoint folder. Where none is set, a local session gets one; a cluster has to name one that all share."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return (where or context.getCheckpointDir()).rstrip("/")
+
+
+def checkpointed(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """df, computed once and read again from a table in the checkpoint folder, so that later joins know its size.
+
+    The table goes when the driver's file system closes; a lost executor loses nothing of it. A round of a loop that `replaces`
+    the one before deletes that one's table once its own is written.
+    """
+    spark = df.sparkSession
+    place = lambda path: spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place(shared_dir(spark)).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    files.deleteOnExit(place(path))
+    if replaces is not None and hasattr(replaces, "_scratch"):
+        files.delete(place(replaces._scratch), True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def last_of_number(keys: DataFrame) -> DataFrame:

@@ -52,17 +52,15 @@ def roots(links: DataFrame) -> DataFrame:
     three joins over the links, and is written.
     """
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    tree = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to"))
+    tree = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
     while True:
-        tree = checkpointed(tree)
-        far = tree.join(tree.select(F.col("a").alias("to"), F.col("to").alias("far")), "to")
+        far = tree.select("a", "to").join(tree.select(F.col("a").alias("to"), F.col("to").alias("far")), "to")
         around = both.join(far.select(F.col("a").alias("b"), "far"), "b").groupBy("a").agg(F.min("far").alias("near"))
         seen = far.join(around, "a")
         told = seen.groupBy(F.col("to").alias("a")).agg(F.min("near").alias("told"))
-        now = checkpointed(seen.join(told, "a", "left").select("a", "to", F.least("to", "far", "near", "told").alias("new")))
-        if now.where("new < to").isEmpty():
-            return now.select(F.col("a").alias("id"), F.col("to").alias("root"))
-        tree = now.select("a", F.col("new").alias("to"))
+        tree = checkpointed(seen.join(told, "a", "left").select("a", F.col("to").alias("was"), F.least("to", "far", "near", "told").alias("to")), replaces=tree)
+        if tree.where("to < was").isEmpty():
+            return tree.select(F.col("a").alias("id"), F.col("to").alias("root"))
 
 
 def regions(cells: DataFrame, corners: bool = True) -> DataFrame:

@@ -56,7 +56,7 @@ def test_regions_are_those_of_a_flood_fill(spark, corners, share):
 def test_a_long_region_takes_few_rounds(spark, monkeypatch):
     kept = []
     once = regions.checkpointed
-    monkeypatch.setattr(regions, "checkpointed", lambda df: kept.append(1) or once(df))
+    monkeypatch.setattr(regions, "checkpointed", lambda df, replaces=None: kept.append(1) or once(df, replaces))
     links = spark.range(3000).selectExpr("(id * 7919) % 3001 AS a", "((id + 1) * 7919) % 3001 AS b")
     found = regions.roots(links).collect()
     assert {r.root for r in found} == {0} and len(found) == 3001
