@@ -600,7 +600,15 @@ def modal_values(spark, sf_dir):
     return sequence.mode(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_type", "event_id")
 
 
-@query()
+@query("""WITH RECURSIVE p AS (SELECT l_suppkey % 100 AS page_id, dayofyear(l_shipdate)::INT AS d, count(*)::DOUBLE AS ink FROM lineitem GROUP BY 1, 2),
+n AS (SELECT *, lag(ink) OVER w AS a, lead(ink) OVER w AS b, greatest(max(ink) OVER (PARTITION BY page_id) * 0.15::DOUBLE, 2) AS level FROM p WINDOW w AS (PARTITION BY page_id ORDER BY d)),
+t AS (SELECT page_id, d, ink, row_number() OVER (PARTITION BY page_id ORDER BY d) AS i, count(*) OVER (PARTITION BY page_id) AS n FROM n WHERE ink >= a AND ink > b AND ink > level),
+run AS (SELECT page_id, i, n, [{'d': d, 'v': ink}] AS kept FROM t WHERE i = 1
+  UNION ALL SELECT page_id, i, n, CASE WHEN near = 0 THEN list_append(kept, {'d': d, 'v': ink})
+    ELSE list_transform(kept, lambda k, j: CASE WHEN j = near AND ink > k.v THEN {'d': d, 'v': ink} ELSE k END) END
+  FROM (SELECT t.*, r.kept, coalesce(list_position(list_transform(r.kept, lambda k: abs(t.d - k.d) < 8), true), 0) AS near FROM run r JOIN t ON t.page_id = r.page_id AND t.i = r.i + 1)),
+k AS (SELECT page_id, unnest(kept) AS k FROM run WHERE i = n)
+SELECT page_id, k.d AS "at", k.v AS ink FROM k""")
 def profile_peaks(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 100).alias("page_id"), F.dayofyear("l_shipdate").alias("at")).agg(F.count("*").cast("double").alias("ink"))
     return sequence.peaks(rows, "page_id", "at", "ink", 8)

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as X
-from quillmatch.operators import chains, leaders, masks, regions
+from quillmatch.operators import chains, combs, leaders, masks, regions
 
 from .derived import table
 from .registry import query
@@ -138,3 +138,42 @@ def version_order(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_type", name.alias("name"))
     order = W.partitionBy("p_type").orderBy(F.desc(X.version_key(F.col("name"))), F.contains("name", F.lit("-lite")), "p_partkey")
     return rows.select("p_type", "p_partkey", "name", F.row_number().over(order).alias("place"))
+
+
+@query(f"""WITH {_DARK},
+m AS (SELECT page_id, (c % 8 // 4)::INT AS block, c % 8 AS x, c // 8 AS y FROM dark WHERE v > 0.05::DOUBLE),
+t AS (SELECT page_id, block, x, lean, 20000 * x - lean * (2 * y - 7) AS p FROM m, (SELECT unnest(range(-600, 1001, 25)) AS lean)),
+g AS (SELECT *, least(p - lag(p) OVER (PARTITION BY page_id, block, lean ORDER BY p), 16000) AS gap FROM t),
+k AS (SELECT page_id, block, lean, sum(gap) AS cost, count(*) AS n, sum(x) AS sx FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 6)
+SELECT page_id, block, n, sx::DOUBLE / n AS mean_x, lean::INT AS lean FROM k QUALIFY row_number() OVER (PARTITION BY page_id, block ORDER BY cost, lean) = 1""")
+def picture_leans(spark, sf_dir):
+    """How the cells of the left and right half of every picture lean."""
+    marks = _marks(spark, sf_dir).withColumn("block", F.floor(F.col("x") / 4).cast("int"))
+    ends = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("page_id"), F.lit(0).alias("y0"), F.lit(SIDE - 1).alias("y1")).distinct()
+    return combs.leans(marks, ends, 2)
+
+
+def _marks(spark, sf_dir):
+    pictures = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("page_id"), "embedding")
+    return regions.dark_cells(pictures, "embedding", SIDE, F.col("v").cast("double") > 0.05)
+
+
+@query(f"""WITH {_DARK},
+m AS (SELECT page_id, (c % 8)::DOUBLE AS x FROM dark WHERE v > 0.05::DOUBLE),
+prof AS (SELECT page_id, c % 8 AS x, count(*) FILTER (v > 0) AS v FROM dark GROUP BY 1, 2),
+s AS (SELECT page_id, list_sort(list(x)) AS xs, count(*) AS n FROM m GROUP BY 1),
+sp AS (SELECT page_id, n, CASE WHEN n >= 8 THEN xs[floor(0.1::DOUBLE * (n - 1))::INT + 1] ELSE xs[1] END AS low, CASE WHEN n >= 8 THEN xs[floor(0.9::DOUBLE * (n - 1))::INT + 1] ELSE xs[n] END AS high FROM s),
+e AS (SELECT page_id, n, high, i * 4 + j AS turn, (0.72::DOUBLE + 0.04::DOUBLE * i) * 2 AS pitch, low - 1.55::DOUBLE * 2 + j * 1.5::DOUBLE AS first FROM sp, (SELECT unnest(range(19)) AS i), (SELECT unnest(range(4)) AS j)),
+f AS (SELECT * FROM e WHERE first + 2 * pitch >= high - 1.35::DOUBLE * 2 AND first + 2 * pitch <= high + 1.35::DOUBLE * 2),
+w AS (SELECT f.page_id, turn, floor(first + k * pitch - 0.18::DOUBLE * 2 + 0.5::DOUBLE) AS lo, floor(first + k * pitch + 0.18::DOUBLE * 2 + 0.5::DOUBLE) AS hi FROM f, (SELECT unnest(range(3)) AS k)),
+ink AS (SELECT w.page_id, turn, sum(coalesce(v, 0)) AS ink FROM w LEFT JOIN prof p ON p.page_id = w.page_id AND p.x BETWEEN lo AND hi GROUP BY 1, 2),
+met AS (SELECT f.page_id, turn, count(*) FILTER (abs(x - (first + greatest(0, least(2, floor((x - first) / pitch + 0.5::DOUBLE))) * pitch)) <= least(0.5::DOUBLE * pitch, 0.55::DOUBLE * 2)) AS explained FROM f JOIN m USING (page_id) GROUP BY 1, 2),
+every AS (SELECT f.*, ink, explained, n - explained <= greatest(2, floor(0.25::DOUBLE * n + 0.5::DOUBLE)) AS fits FROM f JOIN ink USING (page_id, turn) JOIN met USING (page_id, turn)),
+best AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY fits DESC, ink DESC, turn) = 1)
+SELECT page_id, 0 AS block, round(first, 6) AS first, round(pitch, 6) AS pitch, ink::BIGINT AS ink, explained, n::INT AS n FROM best WHERE ink > 0""")
+def picture_combs(spark, sf_dir):
+    """The comb of three columns that fits the marks of every picture."""
+    pictures = table(spark, sf_dir, "embeddings").where("vec_id is not null").select(F.col("vec_id").alias("page_id"), F.posexplode("embedding").alias("c", "v"))
+    profile = pictures.groupBy("page_id", (F.col("c") % SIDE).alias("x")).agg(F.count_if(F.col("v") > 0).alias("v"))
+    found = combs.combs(profile, _marks(spark, sf_dir).withColumn("block", F.lit(0)), 2.0, 3)
+    return found.withColumn("first", F.round("first", 6)).withColumn("pitch", F.round("pitch", 6))
