@@ -630,4 +630,4 @@ def option_alphabets(spark, sf_dir):
     return rows.select("match_id", "no", F.array_join(analyze.alphabet(correct, F.col("mine"), options), "").alias("letters"))
 
 
-from . import columns, pictures, requests  # noqa: E402, F401
+from . import bubbles, columns, pictures, requests  # noqa: E402, F401
