@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillmatch.functions import text as X
-from quillmatch.operators import chains, combs, leaders, masks, regions
+from quillmatch.operators import chains, combs, leaders, masks, regions, scans
 
 from .derived import table
 from .registry import query
@@ -177,3 +177,16 @@ def picture_combs(spark, sf_dir):
     profile = pictures.groupBy("page_id", (F.col("c") % SIDE).alias("x")).agg(F.count_if(F.col("v") > 0).alias("v"))
     found = combs.combs(profile, _marks(spark, sf_dir).withColumn("block", F.lit(0)), 2.0, 3)
     return found.withColumn("first", F.round("first", 6)).withColumn("pitch", F.round("pitch", 6))
+
+
+@query(f"""WITH {_DARK},
+g AS (SELECT page_id, c // 8 AS y, c % 8 AS x, floor((v::DOUBLE + 1) * 128)::BIGINT AS grey FROM dark WHERE v IS NOT NULL),
+q AS (SELECT page_id, list_sort(list(grey)) AS s, count(*) AS n FROM g GROUP BY 1),
+t AS (SELECT page_id, s[least(n - 1, floor(n * 0.02::DOUBLE)::BIGINT) + 1] AS low, s[least(n - 1, floor(n * 0.98::DOUBLE)::BIGINT) + 1] AS high FROM q),
+w AS (SELECT g.page_id, y, x, least(255.0::DOUBLE, greatest(0.0::DOUBLE, ((grey - low) * 255)::DOUBLE / greatest(40, high - low))) AS v FROM g JOIN t USING (page_id)),
+n AS (SELECT *, coalesce(lag(v) OVER a, v) AS l, coalesce(lead(v) OVER a, v) AS r, coalesce(lag(v) OVER d, v) AS u, coalesce(lead(v) OVER d, v) AS b FROM w
+  WINDOW a AS (PARTITION BY page_id, y ORDER BY x), d AS (PARTITION BY page_id, x ORDER BY y))
+SELECT page_id, y::INT AS y, x::INT AS x, floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, v + 0.8::DOUBLE * (v - (4 * v + 2 * (u + b + l + r)) / 12))))::INT AS grey FROM n""")
+def enhanced_pictures(spark, sf_dir):
+    """Every picture with its grey stretched and sharpened."""
+    return scans.enhanced(_grey(spark, sf_dir))
