@@ -13,7 +13,7 @@ def page(page_id, height, width, seed):
     return [(page_id, y, x, rng.choice([30, 60, 150, 200, 210, 220, 230]) if y % 5 else 90) for y in range(height) for x in range(width)]
 
 
-@pytest.mark.parametrize("reach", [0, 1, 3, 30])
+@pytest.mark.parametrize("reach", [1, 30])
 def test_ink_is_what_is_darker_than_its_box(spark, reach):
     cells = page(1, 13, 17, 1) + page(2, 1, 9, 2) + page(3, 8, 1, 3)
     odd = [(1, None, 1, 5), (1, 1, 1, None), (None, 1, 1, 5), (2, 0, 0, 400)]

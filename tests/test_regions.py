@@ -45,8 +45,7 @@ def spiral(size):
             return sorted((9, a, b) for a, b in cells)
 
 
-@pytest.mark.parametrize("corners", [True, False])
-@pytest.mark.parametrize("share", [0.3, 0.55])
+@pytest.mark.parametrize(("corners", "share"), [(True, 0.3), (False, 0.55)])
 def test_regions_are_those_of_a_flood_fill(spark, corners, share):
     cells = noise(3, 14, 150, share, 7) + spiral(21) + [(5, y, x) for y in (0, 2) for x in range(-70, 200)] + [(5, 1, -70), (5, 1, 199)]
     frame = spark.createDataFrame([(*c, 1) for c in cells + cells[:20] + [(None, 1, 1), (1, None, 1), (1, 1, None)]], "page_id int, y int, x int, root int")
