@@ -321,9 +321,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
 
 def op10_lines(spark, sf_dir: str) -> DataFrame:
     """Per document: how many lines it has, how many go as equal or as near copies, and the positions that stay."""
-    docs = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(WORD))).cast("long")
-    out = docs.select("doc_id", count.alias("n_lines"), F.transform("kept", lambda k: k["pos"]).alias("kept_lines"), "n_near")
+    # counted first, so that no text goes through the join
+    docs = with_kept(table(spark, sf_dir, "documents").select("doc_id", "text", count.alias("n_lines")))
+    out = docs.select("doc_id", "n_lines", F.transform("kept", lambda k: k["pos"]).alias("kept_lines"), "n_near")
     out = out.withColumn("kept_lines", F.coalesce("kept_lines", F.array().cast("array<int>"))).withColumn("n_near", F.coalesce("n_near", F.lit(0).cast("long")))
     removed = F.col("n_lines") - F.size("kept_lines")
     return out.select("doc_id", "n_lines", (removed - F.col("n_near")).alias("n_equal"), "n_near", removed.alias("n_removed"), "kept_lines")
