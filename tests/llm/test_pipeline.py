@@ -31,7 +31,7 @@ def test_sql(spark, name):
 
 def test_queries_are_registered():
     found = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in found if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in found if k.startswith("op") and k[2].isdigit()}
     assert found["pipeline"] is corpus_pipeline.run
 
 
@@ -101,7 +101,7 @@ def test_pipeline_with_nulls_clashing_columns_and_no_rows(spark, tmp_path):
     none.write.parquet(str(tmp_path / "none/documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "none/labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
-    assert all(entry.queries()[q](spark, str(tmp_path / "none")).count() == 0 for q in ("op1_toxicity", "op2_pieces", "op3_nearcopies", "op5_repeats", "op6_mixing", "op7_quality", "op10_lines"))
+    assert all(entry.queries()[q](spark, str(tmp_path / "none")).count() == 0 for q in ("op1_toxicity", "op2_pieces", "op3_nearcopies", "op5_repeats", "op6_mixing", "op7_quality", "op10_lines", "op12_counts", "op13_periods"))
 
 
 def test_a_cluster_has_to_name_a_shared_folder():
