@@ -107,8 +107,9 @@ def disc_fill(cells: DataFrame, discs: DataFrame, height: int, width: int) -> Da
     chords = chords.withColumn("n", F.when(rest >= 0, F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(0))).otherwise(0))
     inside = chords.groupBy("page_id", "disc").agg(F.sum("n").alias("inside"))
     shared = F.greatest(F.least("hi", "x1") - F.greatest("lo", "x0") + 1, F.lit(0))
-    dark = chords.where("n > 0").join(row_runs(cells), ["page_id", "y"]).groupBy("page_id", "disc").agg(F.sum(shared).alias("dark"))
-    both = inside.join(dark, ["page_id", "disc"], "left").withColumn("dark", F.coalesce("dark", F.lit(0)))
+    # chords are so alike that they shuffle small and would be broadcast large
+    dark = chords.where("n > 0").join(row_runs(cells).hint("merge"), ["page_id", "y"]).groupBy("page_id", "disc").agg(F.sum(shared).alias("dark"))
+    both = inside.join(dark.hint("merge"), ["page_id", "disc"], "left").withColumn("dark", F.coalesce("dark", F.lit(0)))
     return both.select("page_id", "disc", "inside", "dark", F.when(F.col("inside") > 0, F.col("dark") / F.col("inside")).otherwise(F.lit(0.0)).alias("fill"))
 
 

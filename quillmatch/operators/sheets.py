@@ -79,7 +79,7 @@ def disc_marks(tight: DataFrame, loose: DataFrame, bubbles: DataFrame, height: i
     radius = F.greatest(F.lit(LEAST_RADIUS), RADIUS * F.col("pitch"))
     discs = each.select("page_id", F.struct("no", "option", "s.i").alias("disc"), moved("cx", "a"), moved("cy", "b"), radius.alias("radius"))
     fill = lambda cells, c: regions.disc_fill(cells, discs, height, width).groupBy("page_id", "disc.no", "disc.option").agg(F.max("fill").alias(c))
-    both = fill(tight, "tight").join(fill(loose, "loose"), ["page_id", "no", "option"])
+    both = fill(tight, "tight").join(fill(loose, "loose").hint("merge"), ["page_id", "no", "option"])
     best = lambda c: F.max(F.struct(c, (-F.col("option")).alias("o")))
     items = both.groupBy("page_id", "no").agg(best("tight").alias("t"), best("loose").alias("l"))
     option = F.when(F.col("t.tight") >= TIGHT, -F.col("t.o")).when(F.col("l.loose") >= LOOSE, -F.col("l.o"))
