@@ -28,17 +28,20 @@ def leans(marks: DataFrame, ends: DataFrame, pitch: int) -> DataFrame:
 
     Of the leans tried, the one that packs the marks tightest once straightened about the middle between the page's first and last row: the sum
     of gaps between neighbours, each up to GAP pitches, is least; the first on ties. All in whole numbers. Blocks of fewer than MARKS
-    marks, and pages without ends, have no row; marks with nulls are none; equal marks count each.
+    marks, and pages without ends, have no row; marks with nulls are none; equal marks count each. A block's marks are gathered once, and the
+    leans tried on them where they lie: a row for each mark and lean would be 65 times the marks to shuffle and sort.
     """
     rows = marks.select("page_id", "block", F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).dropna()
     rows = rows.join(ends.select("page_id", (F.col("y0") + F.col("y1")).cast("long").alias("twice")).dropna(), "page_id")
-    tried = rows.select("*", F.explode(F.array(*[F.lit(k) for k in LEANS])).alias("lean"))
-    tried = tried.withColumn("at", 20_000 * F.col("x") - F.col("lean") * (2 * F.col("y") - F.col("twice")))
-    order = W.partitionBy("page_id", "block", "lean").orderBy("at")
-    tried = tried.withColumn("gap", F.least(F.col("at") - F.lag("at").over(order), F.lit(int(GAP * pitch * 20_000))))
-    costs = tried.groupBy("page_id", "block", "lean").agg(F.sum("gap").alias("cost"), F.count("*").alias("n"), F.sum("x").alias("sum_x")).where(F.col("n") >= MARKS)
-    best = costs.groupBy("page_id", "block").agg(F.min(F.struct("cost", "lean", "n", "sum_x")).alias("b"))
-    return best.select("page_id", "block", "b.n", (F.col("b.sum_x") / F.col("b.n")).alias("mean_x"), F.col("b.lean").alias("lean"))
+    blocks = rows.groupBy("page_id", "block").agg(F.count("*").alias("n"), F.sum("x").alias("sum_x"), F.collect_list(F.struct("x", "y", "twice")).alias("marks")).where(F.col("n") >= MARKS)
+    at = lambda lean: F.sort_array(F.transform("marks", lambda p: 20_000 * p["x"] - lean * (2 * p["y"] - p["twice"])))
+    gap = lambda places, k: F.least(F.get(places, k) - F.get(places, k - 1), F.lit(int(GAP * pitch * 20_000)).cast("long"))
+    cost = lambda places: F.aggregate(F.sequence(F.lit(1), F.size(places) - 1), F.lit(0).cast("long"), lambda total, k: total + gap(places, k))
+    tries = F.array(*[F.lit(k) for k in LEANS])
+    # the array of one gives the sorted places a name, so that they are sorted once for each lean
+    tried = F.transform(tries, lambda lean: F.get(F.transform(F.array(at(lean)), lambda places: F.struct(cost(places).alias("cost"), lean.alias("lean"))), 0))
+    best = blocks.select("page_id", "block", "n", "sum_x", F.array_min(tried).alias("b"))
+    return best.select("page_id", "block", "n", (F.col("sum_x") / F.col("n")).alias("mean_x"), F.col("b.lean").alias("lean"))
 
 
 def upright(marks: DataFrame, found: DataFrame, ends: DataFrame) -> DataFrame:

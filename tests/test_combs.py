@@ -39,6 +39,12 @@ def test_leans(spark):
     assert all(min(abs(r.x - 100 - 20 * k) for k in range(4)) < 3.5 for r in straight)
 
 
+def test_leans_make_no_rows(spark):
+    frame = spark.createDataFrame(marks_of(1, 1, 0.05, 40, 1), "page_id int, block int, x int, y int")
+    found = combs.leans(frame, spark.createDataFrame([(1, 0, 600)], "page_id int, y0 int, y1 int"), 20)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def plain_comb(profile, xs, pitch, teeth):
     xs = sorted(xs)
     n = len(xs)
