@@ -220,12 +220,19 @@ def three_way(paper: DataFrame, other: DataFrame, official: DataFrame) -> DataFr
 
 
 def dense(marks: DataFrame, key: DataFrame) -> DataFrame:
-    """(match_id, no, mine, correct) for each number from 1 to the greatest on either side; the last mark wins."""
-    last = lambda df, name: df.groupBy("match_id", "no").agg(F.max_by("answer", "ord").alias(name))
-    mine, correct = last(marks, "mine"), last(key, "correct")
-    top = mine.select("match_id", "no").unionByName(correct.select("match_id", "no")).groupBy("match_id").agg(F.max("no").alias("n"))
-    rows = top.select("match_id", F.explode(F.sequence(F.lit(1).cast("int"), F.col("n").cast("int"))).alias("no"))
-    return rows.join(mine, ["match_id", "no"], "left").join(correct, ["match_id", "no"], "left")
+    """(match_id, no, mine, correct) for each number from 1 to the greatest on either side; the last mark wins.
+
+    Both sides are dealt by match and grouped as one frame; each number brings those that lack before it, so there is one shuffle and
+    one sort. Numbers below 1 are none; rows without a match get numbers, but no answers.
+    """
+    side = lambda df, mine: df.select("match_id", F.col("no").cast("int").alias("no"), F.lit(mine).alias("is_mark"), "ord", "answer").where("no >= 1")
+    both = side(marks, True).unionByName(side(key, False)).repartition("match_id")
+    last = lambda mark: F.max_by("answer", F.when(F.col("is_mark") == mark, F.col("ord")))
+    rows = both.groupBy("match_id", "no").agg(last(True).alias("mine"), last(False).alias("correct"))
+    rows = rows.withColumn("from", F.coalesce(F.lag("no").over(W.partitionBy("match_id").orderBy("no")), F.lit(0)) + 1)
+    rows = rows.select("match_id", F.explode(F.sequence("from", "no")).alias("at"), "no", "mine", "correct")
+    own = lambda c: F.when((F.col("at") == F.col("no")) & F.col("match_id").isNotNull(), F.col(c)).alias(c)
+    return rows.select("match_id", F.col("at").alias("no"), own("mine"), own("correct"))
 
 
 def dense_sheet(marks: DataFrame, key: DataFrame, sizes: DataFrame, most: int = 300) -> DataFrame:

@@ -146,3 +146,13 @@ def test_cached_reads_are_a_stream(spark):
         spark.conf.set(name, before)
     assert sorted(found, key=repr) == sorted(expected, key=repr)
     assert "collect_list" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dense_by_one_shuffle(spark):
+    marks = spark.createDataFrame([(1, 3, "A", 5), (1, 3, "B", 7), (2, 0, "A", 1), (None, 2, "C", 1), (4, None, "D", 1), (5, 1, "A", None)], "match_id long, no int, answer string, ord long")
+    key = spark.createDataFrame([(1, 2, "C", 1), (1, 4, None, 9), (1, 4, "D", 8), (3, 1, "A", 1), (1, -2, "E", 1)], "match_id long, no int, answer string, ord long")
+    found = match.dense(marks, key)
+    want = [(1, 1, None, None), (1, 2, None, "C"), (1, 3, "B", None), (1, 4, None, None), (3, 1, None, "A"), (5, 1, None, None), (None, 1, None, None), (None, 2, None, None)]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(want, key=repr)
+    plan = match.dense(marks, key)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
