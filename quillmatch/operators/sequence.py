@@ -115,27 +115,45 @@ def bind_columns(lines: DataFrame) -> DataFrame:
     A numbered line opens a block of the column that has more of them, the right one on ties. A block takes the lines of the other
     column whose middle lies within it, nine tenths of a line's height more on either side; both bear its number. The text is null
     where no line has a number, there are fewer than two blocks, or less than a quarter of the other column's lines are bound.
+    What binds is worked out on places alone; the texts are shuffled once, to the places that they have found.
     """
-    no = F.regexp_extract("text", NUMBERED, 1)
-    lines = lines.withColumn("no", F.when(no.try_cast("int") > 0, no.try_cast("int")))
-    pages = lines.groupBy("page_id").agg(*[F.count_if((F.col("side") == s) & F.col("no").isNotNull()).alias(s) for s in "lr"], *[F.count_if(F.col("side") == s).alias(f"n_{s}") for s in "lr"])
-    pages = pages.withColumn("main", F.when(F.col("r") >= F.col("l"), "r").otherwise("l")).withColumn("others", F.when(F.col("main") == "r", F.col("n_l")).otherwise(F.col("n_r")))
-    rows = lines.join(pages.select("page_id", "main"), "page_id")
-    main = rows.where("side = main")
-    main = main.withColumn("block", F.count("no").over(W.partitionBy("page_id").orderBy("ord")))
+    no = F.regexp_extract("text", NUMBERED, 1).try_cast("int")
+    page, column = W.partitionBy("page_id"), W.partitionBy("page_id", "side").orderBy("ord")
+    places = lines.where(F.col("page_id").isNotNull()).select("page_id", "side", "ord", "y0", "y1", F.when(no > 0, no).alias("no")).repartition("page_id")
+    of = lambda side, *also: F.count_if(F.col("side") == side if not also else (F.col("side") == side) & F.col("no").isNotNull()).over(page)
+    places = places.select("*", of("l", "no").alias("l"), of("r", "no").alias("r"), of("l").alias("n_l"), of("r").alias("n_r"), F.count("no").over(column).alias("block"))
+    main = F.when(F.col("r") >= F.col("l"), "r").otherwise("l")
+    fit = (F.col("l") + F.col("r") > 0) & (F.col("n_l") > 0) & (F.col("n_r") > 0)
+    places = places.where(fit).select("page_id", "side", "ord", "y0", "y1", "no", "block", (F.col("side") == main).alias("own"), F.when(main == "r", F.col("n_l")).otherwise(F.col("n_r")).alias("others"))
+    places = checkpointed(places)  # without texts: these are dealt once, below
+
+    own = places.where("own")
     heights = F.sort_array(F.collect_list(F.greatest(F.col("y1") - F.col("y0"), F.lit(4))))
-    reach = main.groupBy("page_id").agg(heights.alias("h")).select("page_id", (F.get("h", F.floor(F.size("h") / 2).cast("int")) * 0.9).alias("reach"))
-    joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), " ").alias(c)
-    blocks = main.groupBy("page_id", "block").agg(F.min_by("y0", "ord").alias("y0"), F.max_by("y1", "ord").alias("y1"), F.max("no").alias("no"), joined("own"))
+    reach = own.groupBy("page_id").agg(heights.alias("h")).select("page_id", (F.get("h", F.floor(F.size("h") / 2).cast("int")) * 0.9).alias("reach"))
+    blocks = own.groupBy("page_id", "block").agg(F.min_by("y0", "ord").alias("y0"), F.max_by("y1", "ord").alias("y1"))
     spans = blocks.join(reach, "page_id").select("page_id", "block", (F.col("y0") - F.col("reach")).alias("y0"), (F.col("y1") + F.col("reach")).alias("y1"))
-    other = rows.where("side <> main").select("page_id", "ord", "text", ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    bound = pair_lines(other, spans, 0.0).groupBy("page_id", "block").agg(joined("theirs"), F.count("*").alias("n"))
-    label = F.coalesce(F.concat(F.col("no").cast("string"), F.lit(". ")), F.lit(""))
-    parts = blocks.join(bound, ["page_id", "block"], "left").withColumn("part", F.concat_ws("\n", F.concat(label, "theirs"), F.concat(label, "own")))
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "\n")
-    texts = parts.groupBy("page_id").agg(whole.alias("text"), F.count("*").alias("blocks"), F.sum(F.coalesce("n", F.lit(0))).alias("bound"))
-    fits = (F.col("l") + F.col("r") > 0) & (F.col("n_l") > 0) & (F.col("n_r") > 0) & (F.col("blocks") >= 2) & (F.col("bound") >= F.ceil(F.col("others") * 0.25))
-    return pages.join(texts, "page_id", "left").select("page_id", F.when(fits, X.tidy_lines(F.col("text"))).alias("text"))
+    other = places.where("not own").select("page_id", "ord", F.col("side").alias("text"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    hit = pair_lines(other, spans, 0.0).select("page_id", F.col("text").alias("side"), "ord", "block", F.lit(False).alias("own"))
+    bound = own.select("page_id", "side", "ord", "block", "own", "no", "others").unionByName(hit, allowMissingColumns=True).repartition("page_id")
+    blocks_of = F.max("block").over(page) - F.min("block").over(page) + 1
+    enough = (blocks_of >= 2) & (F.count_if(~F.col("own")).over(page) >= F.ceil(F.max("others").over(page) * 0.25))
+    number = F.max("no").over(W.partitionBy("page_id", "block")).cast("string")
+    bound = bound.select("page_id", "side", "ord", "block", "own", F.coalesce(F.concat(number, F.lit(". ")), F.lit("")).alias("label"), enough.alias("_enough")).where("_enough")
+
+    # a line follows its place, if it has one, and takes it over
+    place = F.struct("block", "own", "ord", "label")
+    rows = lines.select("page_id", "side", "ord", "text", F.lit(True).alias("said")).unionByName(bound.select("page_id", "side", "ord", place.alias("place"), F.lit(False).alias("said")), allowMissingColumns=True).repartition("page_id")
+    same = W.partitionBy("page_id", "side", "ord").orderBy("said").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.select("page_id", "text", "said", F.last("place", ignorenulls=True).over(same).alias("place")).where("said")
+    listed = F.sort_array(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place.*", F.coalesce("text", F.lit("")).alias("text")))))
+
+    def part(x, i):
+        before = F.get("l", i - 1)
+        goes_on = (i > 0) & (before["block"] == x["block"]) & (before["own"] == x["own"])
+        return F.concat(F.when(goes_on, " ").when(i > 0, F.concat(F.lit("\n"), x["label"])).otherwise(x["label"]), x["text"])
+
+    texts = rows.groupBy("page_id").agg(listed.alias("l"))
+    return texts.select("page_id", F.when(F.size("l") > 0, X.tidy_lines(F.array_join(F.transform("l", part), ""))).alias("text"))
 
 
 def zip_texts(pages: DataFrame) -> DataFrame:

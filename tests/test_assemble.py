@@ -102,3 +102,11 @@ def test_first_reads_as_a_stream(spark, tmp_path):
     query.stop()
     made = sorted(((r.k or "", r.at) for r in spark.table("made").collect()))
     assert made == [("", at(3)), ("a", at(0)), ("a", at(12.5)), ("b", at(1)), ("b", at(14)), ("b", at(41)), ("c", at(40))]
+
+
+def test_bound_texts_are_shuffled_once(spark):
+    rows = [(1, "r", 0, "1. a", 0.0, 12.0), (1, "r", 1, "2. b", 20.0, 32.0), (1, "l", 0, "x", 0.0, 12.0), (1, "l", 1, "y", 20.0, 32.0), (2, "l", 0, "z", 0.0, 12.0), (None, "r", 0, "1. n", 0.0, 12.0)]
+    found = sequence.bind_columns(spark.createDataFrame(rows, "page_id int, side string, ord int, text string, y0 double, y1 double"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" not in plan and plan.count("Scan ExistingRDD") == 1  # places are a table of their own
+    assert {tuple(r) for r in found.collect()} == {(1, "1. x\n1. 1. a\n2. y\n2. 2. b"), (2, None), (None, None)}
