@@ -24,6 +24,8 @@ COVERED = 0.9
 TOGETHER = 200_000
 #: Width of the stretches of an index that are ranked apart.
 STRETCH = 1000
+#: Rows of a partition, about, beyond which a frame is dealt out to more partitions than the session's.
+SHARE = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,6 +58,15 @@ def checkpointed(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, which has so many rows, dealt by the keys to as many partitions as they ask for, so that a task's share doesn't grow with the input.
+
+    Where the session's number is enough, df stays as it is, and Spark shuffles it when it has to.
+    """
+    n = -(-rows // SHARE)
+    return df.repartition(n, *keys) if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def last_of_number(keys: DataFrame) -> DataFrame:
     """One key row for each number: the last."""
     return keys.groupBy("match_id", "no").agg(F.max_by(F.struct(*[c for c in keys.columns if c not in ("match_id", "no")]), "k_idx").alias("r")).select("match_id", "no", "r.*")

@@ -16,6 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a paper and each of its lines a question: (match_id, p_idx, no, key, mine, has_key)."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")
+    rows = match.dealt(rows, rows.count(), "l_orderkey")
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     return rows.select(
         F.col("l_orderkey").alias("match_id"), F.row_number().over(order).alias("no"),
