@@ -125,7 +125,7 @@ class Refinement:
         """Places at which a square of the level's period starts."""
         q = self.level
         if q <= DIRECT:
-            live = np.flatnonzero(self.name >= 0)
+            live = np.flatnonzero((self.name >= 0) & (self.limit >= q))  # documents that are done keep classes of an earlier level
             found = live[self.next[live] == live + q]
             if q == DIRECT:
                 self._expect(live)

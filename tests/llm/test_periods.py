@@ -66,6 +66,12 @@ def test_all_runs(documents):
     assert found(documents) == [plain_runs(d) for d in documents]
 
 
+def test_short_documents_beside_longer_ones():
+    """A document that is done at a level finds no squares there, though others go on."""
+    documents = [list("bababab"), list("aaaaaaaa"), list("abcabcabcab"), list("xyz" * 4), list("ab" * 4)]
+    assert found(documents) == [plain_runs(d) for d in documents] == [[], [(0, 8, 1)], [], [(0, 12, 3)], [(0, 8, 2)]]
+
+
 def test_structured_words():
     fib, thue = ["a"], ["a"]
     other = ["a", "b"]
