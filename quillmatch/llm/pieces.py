@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .bytescan import pieces as slices
@@ -102,7 +103,7 @@ def normalizer(model: Model):
 
 
 def tokenizer(model: Model):
-    """The model for texts that are normalised already; decoding leaves the marker's space in front."""
+    """The model for texts that are normalised already. Decoding leaves markers as they are, unless the model spells them out in bytes."""
     from tokenizers import Tokenizer, decoders, models
 
     vocab = [p for p, _, _ in model.pieces]
@@ -114,7 +115,7 @@ def tokenizer(model: Model):
     else:
         raise ValueError("only unigram and BPE models are supported")
     out = Tokenizer(core)
-    out.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+    out.decoder = decoders.Sequence([*([] if MARK in vocab else [decoders.Replace(MARK, " ")]), decoders.ByteFallback(), decoders.Fuse()])
     out.encode_special_tokens = True
     return out
 
@@ -137,11 +138,14 @@ class Coder:
     """Encodes and decodes lists of texts; made once in each worker.
 
     Where no piece goes on beyond a word, texts are cut before each run of markers. A part is then encoded and decoded
-    once, and remembered, for the ids of a text are those of its parts.
+    once, and remembered, for the ids of a text are those of its parts. New parts of a BPE model are encoded many in a row, which
+    costs less than each alone.
     """
 
     #: Bytes of remembered parts and ids, about, beyond which all are forgotten before the next slice of texts.
     BYTES = 128 << 20
+    #: So many new parts go to the library as one text.
+    JOINED = 200
 
     def __init__(self, data: bytes, threads: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
@@ -150,8 +154,12 @@ class Coder:
         self.data, self.model = data, Model(data)
         self.tokenizer, self.normalizer = tokenizer(self.model), normalizer(self.model)
         self.plain = not self.model.charsmap and not self.model.squeeze
-        splits = not any(MARK in p.lstrip(MARK) for p, _, _ in self.model.pieces) and self.model.escape
-        self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if splits else r"(?s:.+)")
+        self.splits = not any(MARK in p.lstrip(MARK) for p, _, _ in self.model.pieces) and self.model.escape
+        self.part = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if self.splits else r"(?s:.+)")
+        self.marked = MARK in (p for p, _, _ in self.model.pieces)
+        #: Merges of one part never depend on another's; sums of scores could, by their rounding.
+        self.joins = self.splits and self.marked and self.model.kind == BPE
+        self.opens = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self._forget()
 
     def _forget(self) -> None:
@@ -168,32 +176,98 @@ class Coder:
 
     def _learn(self, new: list[str]) -> None:
         """Adds parts: their ids to the pool, and whether decoding these gives the part again."""
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if self.joins:
+            one = [x for x in new if x.rfind(MARK) == 0]  # a marker in front and no other: only its first piece begins with one
+            new = one + [x for x in new if x.rfind(MARK) != 0]
+            ids = self._joined(one) + self._alone(new[len(one) :])
+        else:
+            ids = self._alone(new)
         back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         self.ends.extend(self.pool.size + np.cumsum(size))
         self.pool.extend(np.fromiter(chain.from_iterable(ids), np.int32, int(size.sum())))
-        self.fine.extend([a.replace(MARK, " ") == b for a, b in zip(new, back, strict=True)])
+        self.fine.extend([(a if self.marked else a.replace(MARK, " ")) == b for a, b in zip(new, back, strict=True)])
         self.taken += 4 * int(size.sum()) + sum(128 + 2 * len(x) for x in new)
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
+    def _alone(self, parts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _joined(self, parts: list[str]) -> list[list[int]]:
+        """Ids of parts that begin with their only marker: of many in a row, cut at the pieces that begin with one."""
+        out = []
+        rows = [parts[k : k + self.JOINED] for k in range(0, len(parts), self.JOINED)]
+        for row, ids in zip(rows, self._alone(["".join(row) for row in rows]), strict=True):
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(row):
+                out += [ids[a:b] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)]
+            else:
+                out += self._alone(row)
+        return out
+
     def encode_and_back(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after the other, each text's number of ids, and whether they decode to the text."""
         if self.taken > self.BYTES:
             self._forget()
-        normal = [self.normalized(x) for x in texts]
-        parts = [self.part.findall(x) for x in normal]
-        if new := list({x for row in parts for x in row} - self.known.keys()):
-            self._learn(new)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+        which, count, same = self._words(texts) if self.plain and self.splits else self._parts(texts)
         begin, size = self.ends.data[which], self.ends.data[which + 1] - self.ends.data[which]
         ids = self.pool.data[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         text = np.repeat(np.arange(len(texts)), count)
         total = np.bincount(text, size, len(texts)).astype(np.int64)
         wrong = np.bincount(text, ~self.fine.data[which], len(texts)) > 0
+        return ids, total, ~wrong & same
+
+    def _numbers(self, parts: list[str]) -> np.ndarray:
+        """The number of each part; those that are new are learnt."""
+        if new := list(dict.fromkeys(x for x in parts if x not in self.known)):
+            self._learn(new)
+        return np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+
+    def _parts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of all parts, each text's number of parts, and whether the normalised text stands for the text itself."""
+        normal = [self.normalized(x) for x in texts]
+        parts = [self.part.findall(x) for x in normal]
         same = [self.cut(x.replace(MARK, " ")) == y for x, y in zip(normal, texts, strict=True)]
-        return ids, total, ~wrong & np.array(same, bool)
+        return self._numbers(list(chain.from_iterable(parts))), np.fromiter(map(len, parts), np.int64, len(parts)), np.array(same, bool)
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _parts, for models that turn spaces into markers and change nothing else. Texts are cut by Arrow; only different words become strings.
+
+        A part is a word and the markers since the word before it, or the markers at a text's end.
+        """
+        given = pa.array(texts, pa.large_string())
+        spaced = pc.replace_substring(given, MARK, " ")
+        same = pc.equal(given, spaced).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(spaced, " ")
+        cells = cut.flatten().dictionary_encode()
+        word = cells.indices.to_numpy().astype(np.int64)
+        names = cells.dictionary.to_numpy(zero_copy_only=False).tolist()
+        size = np.diff(cut.offsets.to_numpy())
+        first = np.cumsum(size) - size
+        text = np.repeat(np.arange(len(texts)), size)
+        at = np.arange(len(word))
+        blank = word == (names.index("") if "" in names else -1)
+        # the last word before each cell; with a marker in front of the text, its first cell has one marker before it
+        last = np.maximum.accumulate(np.where(blank, -1, at))
+        last = np.append(-1, last[:-1])[: len(word)]
+        begin = first[text] - (self.model.prefix & (np.array([bool(x) for x in texts], bool)[text]))
+        marks = at - np.maximum(last, begin)
+        keep = ~blank
+        ends = first + size - 1
+        keep[ends] |= marks[ends] > 0
+        text, word, marks = text[keep], word[keep], marks[keep]
+        count = np.bincount(text, minlength=len(texts))
+        which = np.zeros(len(word), np.int64)
+        plain = marks == 1
+        used = np.zeros(len(names), bool)
+        used[word[plain]] = True
+        used = np.flatnonzero(used)
+        number = np.zeros(len(names), np.int64)
+        number[used] = self._numbers([MARK + names[w] for w in used.tolist()])
+        which[plain] = number[word[plain]]
+        other, back = np.unique(marks[~plain] * len(names) + word[~plain], return_inverse=True)
+        which[~plain] = self._numbers([MARK * (x // len(names)) + names[x % len(names)] for x in other.tolist()])[back]
+        return which, count, same
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         ids, total, _ = self.encode_and_back(texts)
@@ -203,14 +277,14 @@ class Coder:
         return text[1:] if self.model.prefix and text[:1] == " " else text
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return [self.cut(x) for x in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
+        return [self.cut(x.replace(MARK, " ") if self.marked else x) for x in self.tokenizer.decode_batch(ids, skip_special_tokens=False)]
 
-    def expected(self, texts: list[str]) -> list[list[int]]:
+    def expected(self, texts: list[str]) -> list[np.ndarray]:
         from sentencepiece import SentencePieceProcessor
 
         if not hasattr(self, "processor"):
             self.processor = SentencePieceProcessor(model_proto=self.data)
-        return self.processor.encode(texts, num_threads=1)
+        return [self.processor.encode(x, return_type="numpy") for x in texts]
 
 
 _coders: dict[str, Coder] = {}
@@ -237,7 +311,7 @@ def encoded(docs: DataFrame, model: str = MODEL, keep: tuple[str, ...] = ("doc_i
                 ids, n, back = worker.encode_and_back(texts)
                 begin = np.concatenate([[0], np.cumsum(n)])
                 expected = worker.expected(texts)
-                parity = [len(x) == n[k] and np.array_equal(ids[begin[k] : begin[k + 1]], np.array(x, np.int32)) for k, x in enumerate(expected)]
+                parity = [len(x) == n[k] and np.array_equal(ids[begin[k] : begin[k + 1]], x) for k, x in enumerate(expected)]
                 rows = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))
                 made = [rows, pa.array(n), pa.array(back), pa.array(parity, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], [*keep, "ids", "n_tokens", "round_trip", "parity"])

@@ -29,6 +29,23 @@ def test_ids_are_those_of_sentencepiece_and_decode_to_the_text():
         assert same or "▁" in text
 
 
+def test_parts_are_cut_by_arrow_and_go_to_the_library_many_at_once():
+    with open(pieces.MODEL, "rb") as f:
+        data = f.read()
+    coder = pieces.Coder(data)
+    texts = TEXTS + random_texts() + ["  ", "▁", " ▁ a▁▁b ▁", "a  b   c    d ", "\n \n  \n"]
+    for prefix in (True, False):
+        coder.model.prefix = prefix
+        want = coder._parts(texts)
+        assert all(a.tolist() == b.tolist() for a, b in zip(coder._words(texts), want, strict=True))
+    coder, asked = pieces.Coder(data), []
+    alone = coder._alone
+    coder._alone = lambda parts: asked.append(len(parts)) or alone(parts)
+    words = [f"w{k * k}é漢"[k % 3 :] for k in range(5000)]
+    assert coder.encode([" ".join(words)]) == SentencePieceProcessor(model_proto=data).encode([" ".join(words)])
+    assert sum(asked) <= len(words) / coder.JOINED + 2
+
+
 def message(*parts):
     """A protobuf message of (field, value): bytes, float or whole number."""
 
