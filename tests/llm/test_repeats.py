@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import brute
@@ -77,3 +78,33 @@ def test_runs_that_agree_far_beyond_the_length(spark):
         rows.append((i, "".join(rng.choice("xyz") for _ in range(rng.randint(0, 3))) + base[a:at] + rng.choice(["", "z", "zz"]) + base[at:b]))
     found = {r.doc_id: tuple(r)[1:] for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
     assert found == dict(enumerate(brute.without_repeats([t for _, t in rows])))
+
+
+def test_kept_bytes_and_spans(spark):
+    """The operator gives the texts themselves: what is left, and maximal runs of what is not."""
+    rows = fixture()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts, cut = dict(rows), repeats.cut_repeats(docs).collect()
+    expected = dict(zip([d for d, _ in rows], brute.without_repeats([t for _, t in rows]), strict=True))
+    assert sorted(r.doc_id for r in cut) == sorted(texts)
+    for r in cut:
+        data, spans = (texts[r.doc_id] or "").encode(), [(x["from"], x["to"]) for x in r.spans]
+        ends = [0, *(x for span in spans for x in span), len(data)]
+        assert all(a < b for a, b in zip(ends[1:-2], ends[2:-1], strict=True))
+        assert b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)) == r.kept
+        assert (len(data), len(data) - len(r.kept), len(spans), hashlib.sha256(r.kept).hexdigest()) == expected[r.doc_id]
+
+
+def test_passages_of_over_fifty_words(spark):
+    """A shared passage goes if it has 400 bytes, however many words; n_bytes is the input's length in either case."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    some = lambda n: " ".join(word(rng.randint(3, 9)) for _ in range(n))
+    shared = {"long": " ".join(word(7) for _ in range(60)), "short": " ".join(word(5) for _ in range(60)), "none": ""}
+    assert len(shared["short"]) < 400 < len(shared["long"])
+    rows = [(f"{kind}{i}", f"{some(80)}A {shared[kind]} Z{some(80)}") for kind in shared for i in range(20)]
+    # a letter of its own on either side, so that no two passages share more than is meant
+    rows = [(d, t.replace("A ", f"{i}A ").replace(" Z", f" Z{i}")) for i, (d, t) in enumerate(rows)]
+    found = repeats.without_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r.doc_id for r in found if r.n_removed} == {d for d, _ in rows if d.startswith("long")}
+    assert {r.doc_id: r.n_bytes for r in found} == {d: len(t) for d, t in rows}
